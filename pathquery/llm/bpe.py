@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_slices
+from .common import LongMap, map_slices
 
 NONE = np.int32(2**31 - 1)
 MAX_WIDTH = 256
@@ -36,7 +36,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PairTable:
-    """(left id, right id) -> id of the merged token; open addressing, looked up for whole arrays."""
+    """(left id, right id) -> id of the merged token, looked up for whole arrays."""
 
     def __init__(self, ranks: dict[bytes, int]):
         keys, vals = [], []
@@ -46,39 +46,13 @@ class PairTable:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     vals.append(rank)
-        bits = max(4, (4 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.vals = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
-        k, v, probe = np.array(keys, np.int64), np.array(vals, np.int32), 0
-        slot = self._slot(k)
-        while len(k):
-            at = (slot + probe) & self.mask
-            free = self.keys[at] == -1
-            self.keys[at[free]] = k[free]
-            placed = self.keys[at] == k
-            self.vals[at[placed]] = v[placed]
-            k, v, slot, probe = k[~placed], v[~placed], slot[~placed], probe + 1
-        self.probes = probe
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.map = LongMap(np.array(keys, np.int64), np.array(vals, np.int32), NONE)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged ids, NONE where the pair is unknown or a side is padding (negative)."""
-        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
-        out = np.full(keys.shape, NONE, np.int32)
-        todo = np.flatnonzero((left.ravel() >= 0) & (right.ravel() >= 0))
-        flat, k = out.reshape(-1), keys.ravel()[todo]
-        slot = self._slot(k)
-        for probe in range(self.probes):
-            at = (slot + probe) & self.mask
-            there = self.keys[at]
-            hit = there == k
-            flat[todo[hit]] = self.vals[at[hit]]
-            rest = ~hit & (there != -1)
-            if not rest.any():
-                break
-            todo, k, slot = todo[rest], k[rest], slot[rest]
+        out = np.full(left.shape, NONE, np.int32)
+        real = (left >= 0) & (right >= 0)
+        out[real] = self.map.find(left[real].astype(np.int64) << 32 | right[real].astype(np.int64))
         return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,3 +93,42 @@ def block_count(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     """How many blocks of about `bytes_each` bytes the planner sees in df's files."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(1 << 20, -(-size // bytes_each)))
+
+
+class LongMap:
+    """Distinct longs (never -1) to values: open addressing in numpy, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, vals: np.ndarray, missing):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask, self.missing, self.probes = np.uint64(64 - bits), (1 << bits) - 1, missing, 0
+        self.keys, self.vals = np.full(1 << bits, -1, np.int64), np.full(1 << bits, missing, vals.dtype)
+        k, v = keys.astype(np.int64), vals
+        slot = self._slot(k)
+        while len(k):
+            at = (slot + self.probes) & self.mask
+            free = self.keys[at] == -1
+            self.keys[at[free]] = k[free]
+            placed = self.keys[at] == k
+            self.vals[at[placed]] = v[placed]
+            k, v, slot = k[~placed], v[~placed], slot[~placed]
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.vals[slot], self.missing)
+        todo = np.flatnonzero((there != keys) & (there != -1))
+        k, slot = keys[todo], slot[todo]
+        for probe in range(1, self.probes):
+            if not len(todo):
+                break
+            at = (slot + probe) & self.mask
+            there = self.keys[at]
+            hit = there == k
+            out[todo[hit]] = self.vals[at[hit]]
+            rest = ~hit & (there != -1)
+            todo, k, slot = todo[rest], k[rest], slot[rest]
+        return out
