@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         e = written(e, "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first())
+        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
