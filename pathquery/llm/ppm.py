@@ -10,7 +10,7 @@ Distribution.  Neither the trie nor the vocabulary has a size bound, so nothing
 bytes and less (at most 256^3 counts).  Texts are taken in blocks; each block names its distinct (context, byte) grams
 and words once, with their training counts.  Grams meet by the last three bytes of their contexts, where all longer
 contexts that end in them are together and probabilities can be worked out; words meet by word.  The answers go back to their block and
-score its texts.  What moves besides one exchange of the texts is the distinct grams and words of each block.
+score its texts.  What moves besides one exchange of the texts is the distinct grams and words of each block, packed by block and target partition.
 
 Beside it runs a unigram base: tokens are words that end at ASCII white space (A-Z lowered) and one end for each text,
 with log10((c + 0.5) / (N + 0.5 (V + 1))).
@@ -21,11 +21,13 @@ text every byte has the even share and the base is log10(1) for each token; an e
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LongMap, arrow_schema, block_count, slices, written
@@ -37,8 +39,8 @@ PAD, END = 0xFE, 0xFF
 SYMBOLS = 255
 #: Bytes of a block in df's files, about.
 BLOCK_BYTES = 16 << 20
-#: The end token among words; words have no white space.
-END_TOKEN = "\n"
+#: The end token among words; no word is empty.
+END_TOKEN = b""
 #: Words held for a block before they are handed on (they may then be handed on twice).
 HELD_WORDS = 1_500_000
 
@@ -121,25 +123,59 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-VOCABULARY = "block long, gram long, word string, n long"
+#: kind: g grams, w words, both packed for a target partition; t counts of contexts of two bytes (key, n), unpacked.
+VOCABULARY = "kind string, target long, block long, payload binary, key long, n long"
+ANSWERS = "block long, kind string, payload binary, total long, distinct long"
 
 
-def vocabulary(batches, kinds: pa.Schema):
+def packed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p)))
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=0).tobytes()
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.int64))
+
+
+def rows(kinds: pa.Schema, **columns) -> pa.RecordBatch:
+    n = max(len(x) for x in columns.values())
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], schema=kinds)
+
+
+def vocabulary(batches, kinds: pa.Schema, parts: int):
     """Of (block, text, train) rows: each block's distinct grams and words with their counts in training texts."""
     held_grams: dict[int, list] = defaultdict(list)
     held_words: dict[int, Counter] = defaultdict(Counter)
 
     def out(block):
-        parts = held_grams.pop(block)
-        keys, n = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-        for i in range(0, len(keys), 100_000):
-            m = len(keys[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(keys[i : i + m]), pa.nulls(m, pa.string()), pa.array(n[i : i + m])], schema=kinds)
-        c = held_words.pop(block)
-        w, n = [x.decode("utf-8", "surrogateescape") for x in c], np.fromiter(c.values(), np.int64, len(c))
-        for i in range(0, len(w), 100_000):
-            m = len(w[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.array(w[i : i + m]), pa.array(n[i : i + m])], schema=kinds)
+        got = held_grams.pop(block)
+        keys, n = summed(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+        low, m = summed(keys & 0xFFFFFF, n)
+        yield rows(kinds, kind=["t"] * int((m > 0).sum()), key=low[m > 0], n=m[m > 0])
+        context = ((keys >> 8) & ((1 << 8 * TOGETHER) - 1)).view(np.uint64)
+        target = ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+        order = np.argsort(target, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(target[order])) + 1])
+        for at in np.split(order, cuts[1:]):
+            yield rows(kinds, kind=["g"], target=[target[at[0]]], block=[block], payload=[packed(steps(keys[at]), n[at].tobytes())])
+        by: dict[int, list] = defaultdict(list)
+        for item in sorted(held_words.pop(block).items()):
+            by[zlib.crc32(item[0]) % parts].append(item)
+        for t, items in by.items():
+            yield rows(kinds, kind=["w"], target=[t], block=[block], payload=[packed(b"\n".join(w for w, _ in items), np.array([c for _, c in items], np.int64).tobytes())])
 
     for batch in batches:
         for part in slices(batch, "text", 4_000_000):
@@ -159,7 +195,7 @@ def vocabulary(batches, kinds: pa.Schema):
                             else:
                                 for w in words(t):
                                     c.setdefault(w, 0)
-                        c[END_TOKEN.encode()] += len(own) * flag
+                        c[END_TOKEN] += len(own) * flag
             if sum(map(len, held_words.values())) > HELD_WORDS:
                 for b in list(held_grams):
                     yield from out(b)
@@ -167,6 +203,39 @@ def vocabulary(batches, kinds: pa.Schema):
         yield from out(b)
 
 
+def solved_grams(batches, kinds: pa.Schema, trie: Trie):
+    """Of a partition's packed grams: each block's again, with log10 probabilities."""
+    by: dict[int, list] = defaultdict(list)
+    for batch in batches:
+        for target, block, data in zip(*(batch.column(c).to_pylist() for c in ("target", "block", "payload"))):
+            keys, n = unpacked(data)
+            by[target].append((block, keys_of(keys), np.frombuffer(n, np.int64)))
+    for got in by.values():
+        keys, sums = summed(np.concatenate([k for _, k, _ in got]), np.concatenate([n for _, _, n in got]))
+        value = log_probabilities(keys, sums, trie).astype(np.float32)
+        for block, k, _ in got:
+            yield rows(kinds, block=[block], kind=["g"], payload=[packed(steps(k), value[np.searchsorted(keys, k)].tobytes())])
+
+
+def counted_words(batches, kinds: pa.Schema):
+    """Of a partition's packed words: each block's again, with counts in all training texts; and the partition's totals."""
+    by: dict[int, list] = defaultdict(list)
+    for batch in batches:
+        for target, block, data in zip(*(batch.column(c).to_pylist() for c in ("target", "block", "payload"))):
+            by[target].append((block, data))
+    for got in by.values():
+        count: Counter = Counter()
+        for _, data in got:
+            w, n = unpacked(data)
+            for x, c in zip(w.split(b"\n"), np.frombuffer(n, np.int64).tolist()):
+                count[x] += c
+        yield rows(kinds, kind=["n"], total=[sum(count.values())], distinct=[sum(c > 0 for c in count.values())])
+        for block, data in got:
+            w, _ = unpacked(data)
+            c = np.fromiter(map(count.__getitem__, w.split(b"\n")), np.int64)
+            yield rows(kinds, block=[block], kind=["w"], payload=[packed(w, c.tobytes())])
+
+
 def blocks(df: DataFrame, id_col: str, text_col: str, by_file: bool) -> Column:
     """A block of each row: a part of a file's split, or with by_file false a share of ids."""
     if not by_file:
@@ -181,56 +250,51 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     by_file: df is read straight from files, whose splits then are the blocks; otherwise rows are exchanged once more.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), blocks(df, id_col, text_col, by_file).alias("block"))
-    told = rows.select("block", "text", "train")
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), blocks(df, id_col, text_col, by_file).alias("block"))
+    told = source.select("block", "text", "train")
     told = told if by_file else told.repartition(block_count(df, BLOCK_BYTES), "block")
-    named = arrow_schema(VOCABULARY)
-    vocab = written(told.mapInArrow(lambda batches: vocabulary(batches, named), VOCABULARY), "vocabulary")
     parts = block_count(df, BLOCK_BYTES, 8)
+    named, replies = arrow_schema(VOCABULARY), arrow_schema(ANSWERS)
+    vocab = written(told.mapInArrow(lambda batches: vocabulary(batches, named, parts), VOCABULARY), "vocabulary")
 
     # contexts of two bytes and less: 256^3 counts at most
-    low = vocab.filter("gram is not null and n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    low = vocab.filter("kind = 't'").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     trie = spark.sparkContext.broadcast(Trie(low["key"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
-    kinds = arrow_schema("block long, gram long, word string, value double")
-
-    def solve(batches):
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got)
-            block, gram, n = (t.column(c).to_numpy() for c in ("block", "gram", "n"))
-            keys, sums = summed(gram, n)
-            value = log_probabilities(keys, sums, trie.value)[np.searchsorted(keys, gram)]
-            for i in range(0, len(gram), 100_000):
-                m = len(gram[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(block[i : i + m]), pa.array(gram[i : i + m]), pa.nulls(m, pa.string()), pa.array(value[i : i + m])], schema=kinds)
-
-    by_gram = vocab.filter("gram is not null").select("block", "gram", "n")
-    solved = by_gram.repartition(parts, F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TOGETHER) - 1))).mapInArrow(solve, "block long, gram long, word string, value double")
-
-    w = Window.partitionBy("word")
-    counted = vocab.filter("word is not null").repartition(parts, "word").select("block", "word", "n", F.sum("n").over(w).alias("c"), F.row_number().over(w.orderBy("block")).alias("nth"))
-    counted = written(counted, "words")
-    total, kinds_known = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when((F.col("nth") == 1) & (F.col("c") > 0), 1))).first()
-    answers = solved.union(counted.select("block", F.lit(None).cast("long"), "word", F.col("c").cast("double")))
+
+    def dealt(kind: str) -> DataFrame:
+        return vocab.filter(F.col("kind") == kind).select("target", "block", "payload").repartition(parts, "target")
+
+    solved = dealt("g").mapInArrow(lambda batches: solved_grams(batches, replies, trie.value), ANSWERS)
+    counted = written(dealt("w").mapInArrow(lambda batches: counted_words(batches, replies), ANSWERS), "words")
+    total, distinct = counted.filter("kind = 'n'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    answers = solved.union(counted.filter("kind = 'w'")).select("block", "kind", "payload")
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     result = arrow_schema(schema)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram = right.column("gram").is_valid().to_numpy()
-        value = right.column("value").to_numpy()
-        model = LongMap(right.column("gram").filter(pa.array(gram)).to_numpy(), value[gram], np.nan)
-        c = value[~gram]
-        place = dict(zip(right.column("word").filter(pa.array(~gram)).to_pylist(), range(len(c))))
-        place = {k.encode(): i for k, i in place.items()}
-        logs, known, end = np.log10((c + 0.5) / (total + 0.5 * (kinds_known + 1))), c > 0, place.get(END_TOKEN.encode())
+        keys, values, place, counts, size = [], [], {}, [], 0
+        for is_word, data in zip((x == "w" for x in right.column("kind").to_pylist()), right.column("payload").to_pylist()):
+            a, b = unpacked(data)
+            if is_word:
+                w = a.split(b"\n")
+                place.update(zip(w, range(size, size + len(w))))
+                counts.append(np.frombuffer(b, np.int64))
+                size += len(w)
+            else:
+                keys.append(keys_of(a))
+                values.append(np.frombuffer(b, np.float32))
+        keys, at = np.unique(np.concatenate(keys), return_index=True)
+        model = LongMap(keys, np.concatenate(values)[at], np.float32(np.nan))
+        c = np.concatenate(counts)
+        logs, known, end = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))), c > 0, place[END_TOKEN]
         out = {f.name: [] for f in result}
         for batch in left.to_batches():
             for part in slices(batch, "text"):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 keys, starts = grams(texts)
-                out["score"].append(np.add.reduceat(model.find(keys), starts))
+                out["score"].append(np.add.reduceat(model.find(keys).astype(np.float64), starts))
                 for t in texts:
                     at = np.fromiter(map(place.__getitem__, words(t)), np.int64)
                     out["n_tokens"].append(len(at) + 1)
@@ -241,5 +305,5 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         out |= {"id": left.column("id"), "train": left.column("train"), "train_tokens": [total] * n, "score": np.concatenate(out["score"]) if n else []}
         return pa.Table.from_pydict(out, schema=result)
 
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
+    scored = source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
     return scored.withColumnRenamed("id", id_col)
