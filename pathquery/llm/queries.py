@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, ppm, simhash, warc
+from . import bpe, langid, pii, ppm, simhash, suffix_dedup, warc
 from .common import fold, fresh_path
 
 
@@ -18,6 +18,10 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit(docs.filter(fold() != 0)))
@@ -46,7 +50,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op3_langid, op6_simhash, op8_warc, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_suffix_dedup, op3_langid, op6_simhash, op8_warc, op9_bpe, op10_pii)}
 
 ORACLES = {
     "op8_warc": """
