@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, ppm, simhash, suffix_dedup, warc
+from . import bpe, langid, lsi, pii, ppm, simhash, suffix_dedup, warc
 from .common import fold, fresh_path
 
 
@@ -28,6 +28,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_lsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsi.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,7 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_suffix_dedup, op3_langid, op6_simhash, op8_warc, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_suffix_dedup, op3_langid, op5_lsi, op6_simhash, op8_warc, op9_bpe, op10_pii)}
 
 ORACLES = {
     "op8_warc": """
