@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lsi, pii, ppm, simhash, suffix_dedup, warc
+from . import bpe, images, langid, lsi, pii, ppm, simhash, suffix_dedup, token_trees, warc
 from .common import fold, fresh_path
 
 
@@ -28,6 +30,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images: each row of embeddings gives a texture and an edited crop of it."""
+    return images.copies(images.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op5_lsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsi.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +44,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def stated_edits(doc_id, text: str):
+    """Three edits that follow from the id and the text's length: a deletion, an insertion and a replacement."""
+    n, k = len(text), zlib.crc32(str(doc_id).encode())
+    a, b, c = (k * m % (n + 1) for m in (3, 5, 7))
+    yield a, a + 40, None
+    yield b, b, " edited 42's\n\n"
+    yield c, c + 10, "Ünïcode  "
+
+
+def op7_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_trees.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, edits_of=stated_edits)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -54,7 +76,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_suffix_dedup, op3_langid, op5_lsi, op6_simhash, op8_warc, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_suffix_dedup, op3_langid, op4_images, op5_lsi, op6_simhash, op7_token_trees, op8_warc, op9_bpe, op10_pii)}
 
 ORACLES = {
     "op8_warc": """
