@@ -81,11 +81,14 @@ def normalise_directory(path: str) -> str | None:
 def highlights(name: Column, needles: list[str], fold: bool = True) -> Column:
     """Sorted, merged [start, end) ranges of all, also overlapping, occurrences of the needles."""
     hay = ascii_lower(name) if fold else name
-    found = []
-    for n in dict.fromkeys(n.translate(str.maketrans(UPPER, LOWER)) if fold else n for n in needles if n):
+
+    def ranges(n: str) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length(hay) - len(n) + 1, F.lit(1)))
-        hits = F.filter(places, lambda i, n=n: F.substr(hay, i, F.lit(len(n))) == n)
-        found.append(F.transform(hits, lambda i, n=n: F.struct((i - 1).cast("int").alias("s"), (i - 1 + len(n)).cast("int").alias("e"))))
+        hits = F.filter(places, lambda i: F.substr(hay, i, F.lit(len(n))) == n)
+        return F.transform(hits, lambda i: F.struct((i - 1).cast("int").alias("s"), (i - 1 + len(n)).cast("int").alias("e")))
+
+    fold_needle = (lambda n: n.translate(str.maketrans(UPPER, LOWER))) if fold else (lambda n: n)
+    found = [ranges(n) for n in dict.fromkeys(fold_needle(n) for n in needles if n)]
     empty = F.array().cast("array<struct<s:int,e:int>>")
     if not found:
         return F.transform(empty, lambda r: F.array(r["s"], r["e"]))
