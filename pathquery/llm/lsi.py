@@ -5,10 +5,10 @@ and two neighbouring halves are a passage.  Three passes over all texts:
 
 1. document frequencies of features (idf);
 2. a distributed randomised SVD of the TF-IDF matrix A of all passages: each task adds up its rows' share of A'(A R) for
-   a random R, and the driver, which only ever holds FEATURES x RANK numbers, gets singular values and vectors from
+   a random R (sparse signs: SIGNS of them for a feature), and the driver, which only ever holds FEATURES x RANK numbers, gets singular values and vectors from
    A'A ~ Y (R'Y)^-1 Y' (Nystroem);
-3. passages and the benchmark's own passages are projected to whitened latent vectors; pairs with a cosine of at least
-   COSINE are candidates, which the longest common subsequence of the item's words and of the text around the passage
+3. passages with at least SHARE of their squared weight on words of the benchmark (which every near copy has) and the
+   benchmark's own passages are projected to whitened latent vectors; pairs with a cosine of at least COSINE are candidates, which the longest common subsequence of the item's words and of the text around the passage
    then decides, with an answer check: the item's last sentence.
 
 A text contains an item if LCS / item words is at least SURE, or at least LIKELY and the answer's words are there by the
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_slices, slices
 
-FEATURES, HALF, RANK = 1 << 13, 12, 96
+FEATURES, HALF, RANK, SIGNS = 1 << 13, 12, 64, 4
+SHARE, MEMBERS = 0.4, 1 << 20
 COSINE, SURE, LIKELY, ANSWER, SHORT = 0.4, 0.7, 0.5, 0.8, 8
 ITEMS = 2_000
 #: Rows of Y to a message between tasks.
@@ -44,28 +45,30 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_lower, _drop).split()
 
 
+def hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, ws), np.int64, len(ws))
+
+
 def features(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, ws), np.int64, len(ws)) % FEATURES
+    return hashes(ws) % FEATURES
 
 
 def halves(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all words, where each half begins, and how many halves each text has; a text without words has one, of a padding feature with weight 0."""
-    parts, starts, counts, at = [], [], [], 0
+    """Hashes of all words, where each half begins, and how many halves each text has (none without words)."""
+    counts = np.array([-(-len(ws) // HALF) for ws in texts], np.int64)
+    at, starts = 0, []
     for ws in texts:
-        f = features(ws) if ws else np.array([FEATURES])
-        starts.append(np.arange(at, at + len(f), HALF))
-        counts.append(len(starts[-1]))
-        parts.append(f)
-        at += len(f)
-    return np.concatenate(parts), np.concatenate(starts), np.array(counts)
+        starts.append(np.arange(at, at + len(ws), HALF))
+        at += len(ws)
+    parts = [hashes(ws) for ws in texts if ws]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(starts) if starts else np.zeros(0, np.int64), counts
 
 
 def paired(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of each half and the next of its text; a text's last half alone only if it is its first."""
+    """Sums of each half and the next of its text; a text's last half stands alone."""
     out = x.copy()
-    ends = np.cumsum(counts) - 1
     inner = np.ones(len(x), bool)
-    inner[ends] = False
+    inner[(np.cumsum(counts) - 1)[counts > 0]] = False
     at = np.flatnonzero(inner)
     out[at] += x[at + 1]
     return out
@@ -96,33 +99,36 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]
 
 
 def right_vectors(df: DataFrame, text_col: str, idf: np.ndarray) -> np.ndarray:
-    """FEATURES x RANK: whitened right singular vectors of the TF-IDF matrix of all passages, times idf; the row of padding is zero."""
+    """FEATURES x RANK: whitened right singular vectors of the TF-IDF matrix of all passages, times idf."""
     rng = np.random.Generator(np.random.PCG64(11))
-    r = np.zeros((FEATURES + 1, RANK), np.float32)
-    r[:-1] = rng.standard_normal((FEATURES, RANK), np.float32)
-    sent = df.sparkSession.sparkContext.broadcast((r, idf))
+    column, sign = rng.integers(0, RANK, (SIGNS, FEATURES)), rng.choice([-1.0, 1.0], (SIGNS, FEATURES))
+    r = np.zeros((FEATURES, RANK))
+    for k in range(SIGNS):
+        np.add.at(r, (np.arange(FEATURES), column[k]), sign[k])
+    sent = df.sparkSession.sparkContext.broadcast((column, sign, idf))
     schema = "chunk long, sum binary"
     kinds = arrow_schema(schema)
 
     def add(batches):
-        rand, weight = sent.value
-        y = np.zeros((FEATURES + 1, RANK), np.float64)
-        scaled = rand * weight[:, None]
+        column, sign, weight = sent.value
+        y = np.zeros((RANK, FEATURES))
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
-                f, starts, counts = halves([words(t) for t in part.column(0).to_pylist()])
+                h, starts, counts = halves([words(t) for t in part.column(0).to_pylist()])
+                if not len(h):
+                    continue
+                f = h % FEATURES
                 # passages that don't overlap: halves 0+1, 2+3, ... of each text
-                first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                place = np.arange(len(starts)) - np.repeat(first, counts)
-                begin = starts[place % 2 == 0]
-                mine = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(f))))
-                norm = np.sqrt(np.add.reduceat(weight[f] ** 2, begin))
-                norm[norm == 0] = 1
-                p = np.add.reduceat(scaled[f], begin, axis=0) / norm[:, None] ** 2
-                order = np.argsort(f.astype(np.int16), kind="stable")
-                sorted_f = f[order]
-                cut = np.flatnonzero(np.concatenate([[True], sorted_f[1:] != sorted_f[:-1]]))
-                y[sorted_f[cut]] += np.add.reduceat(p[mine[order]], cut, axis=0) * weight[sorted_f[cut]][:, None]
+                first = np.cumsum(counts) - counts
+                begin = starts[(np.arange(len(starts)) - np.repeat(first, counts)) % 2 == 0]
+                n = len(begin)
+                mine = np.repeat(np.arange(n), np.diff(np.append(begin, len(f))))
+                w = weight[f]
+                w = w / np.sqrt(np.add.reduceat(w * w, begin))[mine]
+                p = sum(np.bincount(mine * RANK + column[k][f], w * sign[k][f], n * RANK) for k in range(SIGNS)).reshape(n, RANK).T.copy()
+                for j in range(RANK):
+                    y[j] += np.bincount(f, w * p[j][mine], FEATURES)
+        y = y.T
         for c in range(0, FEATURES, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([y[c : c + CHUNK].astype(np.float32)[: FEATURES - c].tobytes()])], schema=kinds)
 
@@ -143,25 +149,19 @@ def right_vectors(df: DataFrame, text_col: str, idf: np.ndarray) -> np.ndarray:
     for c, data in got:
         x = np.frombuffer(bytes(data), np.float32).reshape(-1, RANK)
         y[c : c + len(x)] = x
-    out = np.zeros((FEATURES + 1, RANK), np.float32)
+    out = np.zeros((FEATURES, RANK), np.float32)
     if not y.any():
         return out
-    small = r[:-1].astype(np.float64).T @ y
+    small = r.T @ y
     val, vec = np.linalg.eigh((small + small.T) / 2)
     keep = val > val.max() * 1e-9
     b = y @ (vec[:, keep] / np.sqrt(val[keep]))
     u, s, _ = np.linalg.svd(b, full_matrices=False)
     good = s > s[0] * 1e-5
-    out[:-1, : good.sum()] = u[:, good] / s[good]
+    out[:, : good.sum()] = u[:, good] / s[good]
     return out * idf[:, None].astype(np.float32)
 
 
-def latent(texts: list[list[bytes]], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whitened unit vectors of the passages of all texts, and how many each has (one for each half)."""
-    f, starts, counts = halves(texts)
-    return unit(paired(np.add.reduceat(vectors[f], starts, axis=0), counts)), counts
-
-
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     places: dict[bytes, int] = {}
@@ -187,9 +187,12 @@ def answer_of(text: str) -> list[bytes]:
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, ids: list, texts: list[str], vectors: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], vectors: np.ndarray, idf: np.ndarray):
         self.ids, self.words, self.answers = ids, [words(t) for t in texts], [answer_of(t) for t in texts]
-        self.vectors = vectors
+        self.vectors, self.squared = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)]), (idf * idf).astype(np.float32)
+        self.member = np.zeros(MEMBERS, bool)
+        for ws in self.words:
+            self.member[hashes(ws) % MEMBERS] = True
         step = 2 * HALF
         parts, self.item = [], []
         for i, ws in enumerate(self.words):
@@ -197,21 +200,33 @@ class Items:
                 parts.append(ws[at : at + step])
                 self.item.append((i, at))
         got = np.stack([vectors[features(p)].sum(axis=0) for p in parts])
+        self.kinds = [frozenset(ws) for ws in self.words]
         self.queries = np.ascontiguousarray(unit(got).T)
 
     def search(self, texts: list[str | None]):
         """(text number, item number, cosine, LCS share, answer share, first word) of what is contained."""
         split = [words(t) for t in texts]
-        z, counts = latent(split, self.vectors)
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        h, starts, counts = halves(split)
+        if not len(h):
+            return
+        f = h % FEATURES
+        w = self.squared[f]
+        own, whole = (paired(np.add.reduceat(x, starts), counts) for x in (w * self.member[h % MEMBERS], w))
+        passing = np.flatnonzero(own >= SHARE * whole)
+        text = np.repeat(np.arange(len(counts)), counts)
+        first = np.cumsum(counts) - counts
+        stop, padded = np.append(starts, len(h)), np.append(f, FEATURES)
         best: dict[tuple[int, int], list] = {}
-        for at in range(0, len(z), 4096):
-            cos = z[at : at + 4096] @ self.queries
+        for at in range(0, len(passing), 1024):
+            some = passing[at : at + 1024]
+            last = np.minimum(some + 2, first[text[some]] + counts[text[some]])  # a text's last half stands alone
+            place = starts[some][:, None] + np.arange(2 * HALF)
+            z = unit(self.vectors[np.where(place < stop[last][:, None], padded[np.minimum(place, len(h))], FEATURES)].sum(axis=1))
+            cos = z @ self.queries
             for p, q in zip(*np.nonzero(cos >= COSINE)):
-                d = int(np.searchsorted(first, at + p, side="right")) - 1
+                d = int(text[some[p]])
                 i, offset = self.item[q]
-                own = (int(at + p - first[d]) * HALF, offset, float(cos[p, q]))
-                best.setdefault((d, i), []).append(own)
+                best.setdefault((d, i), []).append((int(some[p] - first[d]) * HALF, offset, float(cos[p, q])))
         for (d, i), places in sorted(best.items()):
             item, text = self.words[i], split[d]
             top, done = None, -1
@@ -221,10 +236,15 @@ class Items:
                 lo, hi = max(0, place - offset - HALF), place - offset + len(item) + 3 * HALF
                 done = place + HALF
                 region = text[lo:hi]
+                there = set(region)
+                if len(item) - len(self.kinds[i] - there) < LIKELY * len(item):  # the subsequence can't be longer
+                    continue
                 share = common_subsequence(item, region) / len(item)
-                answer = common_subsequence(self.answers[i], region) / max(1, len(self.answers[i]))
+                answer = common_subsequence(self.answers[i], region) / max(1, len(self.answers[i])) if share >= LIKELY else 0.0
                 if top is None or share > top[1]:
                     top = (max(c for _, _, c in places), share, answer, lo)
+            if top is None:
+                continue
             least = 1.0 if len(item) < SHORT else SURE
             if top[1] >= least or len(item) >= SHORT and top[1] >= LIKELY and top[2] >= ANSWER:
                 yield d, i, *top
@@ -234,7 +254,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(id, item, cosine, lcs_share, answer_share, first_word) for each text and benchmark item that it contains."""
     spark = df.sparkSession
     seen, docs = document_frequencies(df, text_col)
-    idf = np.append(np.log((1 + docs) / (1 + seen)) + 1, 0.0).astype(np.float32)
+    idf = np.log((1 + docs) / (1 + seen)) + 1
     vectors = right_vectors(df, text_col, idf)
     kind = df.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
@@ -246,7 +266,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         rows = items.filter(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(n_blocks)) == block).orderBy(item_col, item_text_col).collect()
         rows = [r for r in rows if words(r[1])]
         if rows:
-            sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], vectors))  # ITEMS items, about
+            sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], vectors, idf))  # ITEMS items, about
 
             def make(sent=sent):
                 def run(part: pa.RecordBatch) -> dict:
