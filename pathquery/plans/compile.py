@@ -42,7 +42,7 @@ def predicate(b: Branch, pinyin: bool = False, metadata_ready: bool = True) -> C
         p += [col("is_dir"), col("child_count") == 0 if b.empty else col("child_count") > 0]
     if b.parent is not None:
         drive, path = b.parent
-        p += ([col("volume") == drive] if drive else []) + [col("parent_path_lc") == path]
+        p += ([col("volume") == drive] if drive else []) + [col("parent_path_lc") == path, col("name") != ""]  # a volume's root is nobody's child
     if b.prefix:
         full = f"{(b.drive or '').lower()}:{b.prefix}"
         p.append((col("full_path_lc") == full) | col("full_path_lc").startswith(full + "\\"))
