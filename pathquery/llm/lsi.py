@@ -7,9 +7,10 @@ and two neighbouring halves are a passage.  Three passes over all texts:
 2. a distributed randomised SVD of the TF-IDF matrix A of all passages: each task adds up its rows' share of A'(A R) for
    a random R (sparse signs: SIGNS of them for a feature), and the driver, which only ever holds FEATURES x RANK numbers, gets singular values and vectors from
    A'A ~ Y (R'Y)^-1 Y' (Nystroem);
-3. passages with at least SHARE of their squared weight on words of the benchmark (which every near copy has) and the
-   benchmark's own passages are projected to whitened latent vectors; pairs with a cosine of at least COSINE are candidates, which the longest common subsequence of the item's words and of the text around the passage
-   then decides, with an answer check: the item's last sentence.
+3. all passages and the benchmark's own passages are projected to whitened latent vectors; pairs with a cosine of at
+   least COSINE are candidates, which the longest common subsequence of the item's words and of the text around the
+   passage then decides, with an answer check: the item's last sentence.  Candidates whose region shares too few words
+   with the item for that subsequence (words counted with repeats, an upper bound of it) skip it.
 
 A text contains an item if LCS / item words is at least SURE, or at least LIKELY and the answer's words are there by the
 same measure of at least ANSWER.  Benchmark items are the stated query set: they are taken in blocks of ITEMS, each sent
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, map_slices, slices
 
 FEATURES, HALF, RANK, SIGNS = 1 << 13, 12, 64, 4
-SHARE, MEMBERS = 0.4, 1 << 20
 COSINE, SURE, LIKELY, ANSWER, SHORT = 0.4, 0.7, 0.5, 0.8, 8
 ITEMS = 2_000
 #: Rows of Y to a message between tasks.
 CHUNK = 256
+#: Passages that are projected at a time, slots for the hashes of an item's words, and words of regions that are counted at a time.
+BLOCK, SLOTS, CELLS = 2_048, 1 << 12, 1 << 20
 _lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz     ")
 _drop = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -187,21 +189,66 @@ def answer_of(text: str) -> list[bytes]:
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, ids: list, texts: list[str], vectors: np.ndarray, idf: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], vectors: np.ndarray):
         self.ids, self.words, self.answers = ids, [words(t) for t in texts], [answer_of(t) for t in texts]
-        self.vectors, self.squared = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)]), (idf * idf).astype(np.float32)
-        self.member = np.zeros(MEMBERS, bool)
-        for ws in self.words:
-            self.member[hashes(ws) % MEMBERS] = True
+        self.vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+        self.length = np.array([len(ws) for ws in self.words], np.int64)
+        self.least = np.where(self.length < SHORT, self.length, np.ceil(LIKELY * self.length)).astype(np.int64)
+        # an item's words by the slots of their hashes: a slot's place in the item (0: not there) and how often it is there
+        self.place, counts = np.zeros((len(ids), SLOTS), np.int32), []
+        for i, ws in enumerate(self.words):
+            slots, n = np.unique(hashes(ws) % SLOTS, return_counts=True)
+            self.place[i, slots] = np.arange(1, len(slots) + 1)
+            counts.append(n)
+        self.often = np.zeros((len(ids), 1 + max(map(len, counts))), np.int64)
+        for i, n in enumerate(counts):
+            self.often[i, 1 : 1 + len(n)] = n
         step = 2 * HALF
-        parts, self.item = [], []
+        parts, item, offset = [], [], []
         for i, ws in enumerate(self.words):
             for at in sorted({*range(0, max(1, len(ws) - step + 1), step), max(0, len(ws) - step)}):
                 parts.append(ws[at : at + step])
-                self.item.append((i, at))
-        got = np.stack([vectors[features(p)].sum(axis=0) for p in parts])
-        self.kinds = [frozenset(ws) for ws in self.words]
-        self.queries = np.ascontiguousarray(unit(got).T)
+                item.append(i)
+                offset.append(at)
+        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
+        self.queries = np.ascontiguousarray(unit(np.stack([vectors[features(p)].sum(axis=0) for p in parts])).T)
+
+    def near(self, h: np.ndarray, starts: np.ndarray, counts: np.ndarray):
+        """(half, query, cosine) arrays of all passages and parts of items with a cosine of at least COSINE."""
+        last = np.zeros(len(starts), bool)
+        last[(np.cumsum(counts) - 1)[counts > 0]] = True
+        padded, stop = np.append(h % FEATURES, FEATURES), np.append(starts[1:], len(h))
+        for at in range(0, len(starts), BLOCK):
+            end = min(at + BLOCK, len(starts))
+            some = np.arange(at, min(end + 1, len(starts)))
+            own = np.zeros((len(some), self.vectors.shape[1]), np.float32)
+            for k in range(HALF):
+                place = starts[some] + k
+                own += self.vectors[padded[np.where(place < stop[some], place, len(h))]]
+            z = own[: end - at].copy()
+            inner = np.flatnonzero(~last[at:end])  # a text's last half stands alone
+            z[inner] += own[inner + 1]
+            cos = unit(z) @ self.queries
+            hit = np.flatnonzero(cos.ravel() >= COSINE)
+            p, q = np.divmod(hit, cos.shape[1])
+            yield p + at, q, cos.ravel()[hit]
+
+    def possible(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which of the regions h[lo:hi] share enough words with their items, counted with repeats: no common subsequence is longer than that."""
+        out = np.zeros(len(item), bool)
+        order = np.argsort(hi - lo, kind="stable")
+        wide = self.often.shape[1]
+        at = 0
+        while at < len(order):
+            n = max(1, CELLS // (int(hi[order[min(at + CELLS // wide, len(order) - 1)]] - lo[order[min(at + CELLS // wide, len(order) - 1)]]) + wide))
+            some = order[at : at + n]
+            at += n
+            place = lo[some][:, None] + np.arange(int((hi[some] - lo[some]).max()))
+            slot = self.place[item[some][:, None], h[np.minimum(place, len(h) - 1)] % SLOTS]
+            slot[place >= hi[some][:, None]] = 0
+            there = np.bincount((np.arange(len(some))[:, None] * wide + slot).ravel(), minlength=len(some) * wide).reshape(-1, wide)
+            out[some] = np.minimum(there, self.often[item[some]]).sum(axis=1) >= self.least[item[some]]
+        return out
 
     def search(self, texts: list[str | None]):
         """(text number, item number, cosine, LCS share, answer share, first word) of what is contained."""
@@ -209,45 +256,30 @@ class Items:
         h, starts, counts = halves(split)
         if not len(h):
             return
-        f = h % FEATURES
-        w = self.squared[f]
-        own, whole = (paired(np.add.reduceat(x, starts), counts) for x in (w * self.member[h % MEMBERS], w))
-        passing = np.flatnonzero(own >= SHARE * whole)
         text = np.repeat(np.arange(len(counts)), counts)
-        first = np.cumsum(counts) - counts
-        stop, padded = np.append(starts, len(h)), np.append(f, FEATURES)
-        best: dict[tuple[int, int], list] = {}
-        for at in range(0, len(passing), 1024):
-            some = passing[at : at + 1024]
-            last = np.minimum(some + 2, first[text[some]] + counts[text[some]])  # a text's last half stands alone
-            place = starts[some][:, None] + np.arange(2 * HALF)
-            z = unit(self.vectors[np.where(place < stop[last][:, None], padded[np.minimum(place, len(h))], FEATURES)].sum(axis=1))
-            cos = z @ self.queries
-            for p, q in zip(*np.nonzero(cos >= COSINE)):
-                d = int(text[some[p]])
-                i, offset = self.item[q]
-                best.setdefault((d, i), []).append((int(some[p] - first[d]) * HALF, offset, float(cos[p, q])))
-        for (d, i), places in sorted(best.items()):
-            item, text = self.words[i], split[d]
-            top, done = None, -1
-            for place, offset, cos in sorted(places):
-                if place < done:  # within the region just compared
-                    continue
-                lo, hi = max(0, place - offset - HALF), place - offset + len(item) + 3 * HALF
-                done = place + HALF
-                region = text[lo:hi]
-                there = set(region)
-                if len(item) - len(self.kinds[i] - there) < LIKELY * len(item):  # the subsequence can't be longer
-                    continue
+        lengths = np.array([len(ws) for ws in split], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        best: dict[tuple[int, int], dict[int, float]] = {}
+        for p, q, cos in self.near(h, starts, counts):
+            d, i = text[p], self.item[q]
+            shift = starts[p] - begin[d] - self.offset[q]  # where the item would begin
+            lo, hi = begin[d] + np.maximum(0, shift - HALF), begin[d] + np.minimum(lengths[d], shift + self.length[i] + 3 * HALF)
+            ok = self.possible(h, i, lo, hi)
+            for *key, at, c in zip(d[ok].tolist(), i[ok].tolist(), shift[ok].tolist(), cos[ok].tolist()):
+                at_shift = best.setdefault(tuple(key), {})
+                at_shift[at] = max(c, at_shift.get(at, c))
+        for (d, i), shifts in sorted(best.items()):
+            item, top = self.words[i], None
+            for shift in sorted(shifts):
+                lo = max(0, shift - HALF)
+                region = split[d][lo : shift + len(item) + 3 * HALF]
                 share = common_subsequence(item, region) / len(item)
                 answer = common_subsequence(self.answers[i], region) / max(1, len(self.answers[i])) if share >= LIKELY else 0.0
-                if top is None or share > top[1]:
-                    top = (max(c for _, _, c in places), share, answer, lo)
-            if top is None:
-                continue
-            least = 1.0 if len(item) < SHORT else SURE
-            if top[1] >= least or len(item) >= SHORT and top[1] >= LIKELY and top[2] >= ANSWER:
-                yield d, i, *top
+                contained = share >= (1.0 if len(item) < SHORT else SURE) or len(item) >= SHORT and share >= LIKELY and answer >= ANSWER
+                if contained and (top is None or share > top[0]):
+                    top = (share, answer, lo)
+            if top is not None:
+                yield d, i, max(shifts.values()), *top
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -266,7 +298,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         rows = items.filter(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(n_blocks)) == block).orderBy(item_col, item_text_col).collect()
         rows = [r for r in rows if words(r[1])]
         if rows:
-            sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], vectors, idf))  # ITEMS items, about
+            sent = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], vectors))  # ITEMS items, about
 
             def make(sent=sent):
                 def run(part: pa.RecordBatch) -> dict:
