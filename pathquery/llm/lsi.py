@@ -38,7 +38,7 @@ ITEMS = 2_000
 #: Rows of Y to a message between tasks.
 CHUNK = 256
 #: Passages that are projected at a time, slots for the hashes of an item's words, and words of regions that are counted at a time.
-BLOCK, SLOTS, CELLS = 2_048, 1 << 12, 1 << 20
+BLOCK, SLOTS, CELLS = 2_048, 1 << 12, 1 << 16
 _lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz     ")
 _drop = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -88,7 +88,7 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]
         n, docs = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                n[np.unique(features(words(t)))] += 1
+                n[np.unique(features(list(set(words(t)))))] += 1
                 docs += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs))], schema=kinds)
@@ -195,7 +195,7 @@ class Items:
         self.length = np.array([len(ws) for ws in self.words], np.int64)
         self.least = np.where(self.length < SHORT, self.length, np.ceil(LIKELY * self.length)).astype(np.int64)
         # an item's words by the slots of their hashes: a slot's place in the item (0: not there) and how often it is there
-        self.place, counts = np.zeros((len(ids), SLOTS), np.int32), []
+        self.place, counts = np.zeros((len(ids), SLOTS + 1), np.int32), []
         for i, ws in enumerate(self.words):
             slots, n = np.unique(hashes(ws) % SLOTS, return_counts=True)
             self.place[i, slots] = np.arange(1, len(slots) + 1)
@@ -233,20 +233,21 @@ class Items:
             p, q = np.divmod(hit, cos.shape[1])
             yield p + at, q, cos.ravel()[hit]
 
-    def possible(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Which of the regions h[lo:hi] share enough words with their items, counted with repeats: no common subsequence is longer than that."""
+    def possible(self, slots: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which of the regions slots[lo:hi] share enough words with their items, counted with repeats: no common subsequence is longer than that."""
         out = np.zeros(len(item), bool)
         order = np.argsort(hi - lo, kind="stable")
-        wide = self.often.shape[1]
+        size, wide = (hi - lo)[order], self.often.shape[1]
+        padded = np.append(slots, np.full(int(size[-1]) if len(size) else 0, SLOTS, np.int32))
         at = 0
         while at < len(order):
-            n = max(1, CELLS // (int(hi[order[min(at + CELLS // wide, len(order) - 1)]] - lo[order[min(at + CELLS // wide, len(order) - 1)]]) + wide))
-            some = order[at : at + n]
-            at += n
-            place = lo[some][:, None] + np.arange(int((hi[some] - lo[some]).max()))
-            slot = self.place[item[some][:, None], h[np.minimum(place, len(h) - 1)] % SLOTS]
-            slot[place >= hi[some][:, None]] = 0
-            there = np.bincount((np.arange(len(some))[:, None] * wide + slot).ravel(), minlength=len(some) * wide).reshape(-1, wide)
+            end = int(np.searchsorted(size, size[at] + HALF, "right"))
+            end = min(end, at + max(1, CELLS // int(size[end - 1] + wide)))
+            some, at = order[at:end], end
+            # a shorter region is read on to the longest one's size: that only raises its bound
+            seen = np.lib.stride_tricks.sliding_window_view(padded, int(size[end - 1]))[lo[some]]
+            place = self.place.ravel().take(seen + (item[some] * (SLOTS + 1))[:, None])
+            there = np.bincount((place + (np.arange(len(some)) * wide)[:, None]).ravel(), minlength=len(some) * wide).reshape(-1, wide)
             out[some] = np.minimum(there, self.often[item[some]]).sum(axis=1) >= self.least[item[some]]
         return out
 
@@ -258,13 +259,13 @@ class Items:
             return
         text = np.repeat(np.arange(len(counts)), counts)
         lengths = np.array([len(ws) for ws in split], np.int64)
-        begin = np.cumsum(lengths) - lengths
+        begin, slots = np.cumsum(lengths) - lengths, (h % SLOTS).astype(np.int32)
         best: dict[tuple[int, int], dict[int, float]] = {}
         for p, q, cos in self.near(h, starts, counts):
             d, i = text[p], self.item[q]
             shift = starts[p] - begin[d] - self.offset[q]  # where the item would begin
             lo, hi = begin[d] + np.maximum(0, shift - HALF), begin[d] + np.minimum(lengths[d], shift + self.length[i] + 3 * HALF)
-            ok = self.possible(h, i, lo, hi)
+            ok = self.possible(slots, i, lo, hi)
             for *key, at, c in zip(d[ok].tolist(), i[ok].tolist(), shift[ok].tolist(), cos[ok].tolist()):
                 at_shift = best.setdefault(tuple(key), {})
                 at_shift[at] = max(c, at_shift.get(at, c))
