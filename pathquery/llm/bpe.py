@@ -126,8 +126,8 @@ class ByteBPE:
                     heapq.heappush(heap, (k, x))
         return tuple(x for x, on in zip(ids, live) if on)
 
-    def learn(self, words) -> None:
-        """Encodes the pre-tokens that aren't known."""
+    def learn(self, words, few: int = 0) -> None:
+        """Encodes the pre-tokens that aren't known; up to `few` of them without matrices."""
         if len(self.ids) > CACHE:
             self.ids.clear()
             self.text.clear()
@@ -137,7 +137,7 @@ class ByteBPE:
             b = w.encode()
             if (whole := self.ranks.get(b)) is not None:
                 self.ids[w] = (whole,)
-            elif len(b) > MAX_WIDTH:
+            elif len(b) > MAX_WIDTH or len(new) <= few:
                 self.ids[w] = self._heap(b)
             else:
                 buckets.setdefault(1 << (len(b) - 1).bit_length(), []).append((w, b))

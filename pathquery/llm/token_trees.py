@@ -16,6 +16,9 @@ result.
 
 from __future__ import annotations
 
+from itertools import chain
+from operator import itemgetter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,29 +28,34 @@ from .common import map_slices
 LEAF = 64
 #: Pre-tokens before the first touched one that are split again.
 REACH = 2
+#: Up to so many new pre-tokens are encoded one by one, as matrices of a few rows cost more.
+FEW = 24
+PARTS = itemgetter(0), itemgetter(1)
+
+
+def counted(coder: ByteBPE, words: list[str]) -> list[tuple[int, int]]:
+    """Lengths and token counts of pre-tokens that the coder knows."""
+    return list(zip(map(len, words), map(len, map(coder.ids.__getitem__, words))))
 
 
 class TokenTree:
     """One text: its pre-tokens' lengths and token counts, summed by a segment tree over leaves."""
 
-    def __init__(self, coder: ByteBPE, text: str):
+    def __init__(self, coder: ByteBPE, text: str, parts: list[tuple[int, int]] | None = None):
         self.coder, self.text, self.encoded = coder, text, 0
-        self._build(self._counted(coder.split.findall(text)))
+        self._build(self._counted(coder.split.findall(text)) if parts is None else parts)
         self.encoded = 0
 
     def _counted(self, words: list[str]) -> list[tuple[int, int]]:
-        self.coder.learn(set(words))
+        self.coder.learn(set(words), FEW)
         self.encoded += len(words)
-        known = self.coder.ids
-        return [(len(w), len(known[w])) for w in words]
+        return counted(self.coder, words)
 
     def _build(self, parts: list[tuple[int, int]]) -> None:
         self.leaves = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
         self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.leaves += [[] for _ in range(self.size - len(self.leaves))]
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(c for c, _ in leaf), sum(n for _, n in leaf)
+        self.chars, self.tokens = ([0] * self.size + [sum(map(one, leaf)) for leaf in self.leaves] for one in PARTS)
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
@@ -58,7 +66,7 @@ class TokenTree:
     def _put(self, i: int, leaf: list[tuple[int, int]]) -> None:
         self.leaves[i] = leaf
         node = self.size + i
-        self.chars[node], self.tokens[node] = sum(c for c, _ in leaf), sum(n for _, n in leaf)
+        self.chars[node], self.tokens[node] = (sum(map(one, leaf)) for one in PARTS)
         while node := node >> 1:
             self._sum(node)
 
@@ -149,9 +157,14 @@ def edited_counts(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
             names = [x.split()[0] for x in EDITED.split(", ")]
             out: dict = {c: [] for c in names}
             given = part.column(2).to_pylist() if edits_col else [None] * part.num_rows
-            for key, text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), given):
-                tree = TokenTree(coder, text or "")
-                edits = [tuple(x.values()) for x in own or ()] if edits_col else list(edits_of(key, text or ""))
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            split = [coder.split.findall(t) for t in texts]
+            coder.learn(set(chain.from_iterable(split)))
+            parts = [counted(coder, words) for words in split]
+            del split
+            for key, text, own, known in zip(part.column(0).to_pylist(), texts, given, parts):
+                tree = TokenTree(coder, text, known)
+                edits = [tuple(x.values()) for x in own or ()] if edits_col else list(edits_of(key, text))
                 before = (sum(map(len, tree.leaves)), tree.n_tokens)
                 for e in edits:
                     tree.edit(*e)
