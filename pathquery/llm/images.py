@@ -12,7 +12,8 @@ word's first corner, by offset votes with that image alone, so that copies of on
 it.
 
 Defined results: a null or unreadable image has no corner and is a class of its own; equal images are one class; rows
-that repeat an id are taken as one image (the least by hash); an empty table gives an empty result.
+that repeat an id are taken as one image (the least by hash); a null id has a null class and no link; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,55 +114,90 @@ def described(stack: np.ndarray):
     return [np.concatenate(v) for v in zip(*out)]
 
 
-CORNER = "image long, scale int, x int, y int, w0 long, w1 long, w2 long, w3 long"
+#: A corner in a blob: scale, x, y and the descriptor as four 32-bit words.
+CORNER = np.dtype([("scale", "<i4"), ("x", "<u2"), ("y", "<u2"), ("code", "<u4", (BANDS,))])
+KNOWN = "id long, sha string, corners binary"
+WORD = "word long, image long, rest long, last long"
 
 
 def corners(images: DataFrame) -> DataFrame:
-    """Corners of (image, data) rows."""
-    kinds = arrow_schema(CORNER)
+    """(id, sha, corners) of (id, data, sha) rows: each image's corners as one blob, null where there is none.  Copies in a slice are described once."""
+    kinds = arrow_schema(KNOWN)
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                by: dict = {}
-                for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if (x := raster(data)) is not None:
-                        by.setdefault(x.shape, []).append((key, x))
+                shas, by, blobs = part.column(2).to_pylist(), {}, {}
+                for sha, data in zip(shas, part.column(1).to_pylist()):
+                    if sha not in blobs:
+                        blobs[sha] = None
+                        if (x := raster(data)) is not None and max(x.shape) < 1 << 16:
+                            by.setdefault(x.shape, []).append((sha, x))
                 for got in by.values():
-                    keys = np.array([k for k, _ in got], np.int64)
-                    img, s, x, y, code = described(np.stack([p for _, p in got]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[img]), *(pa.array(v.astype(np.int32)) for v in (s, x, y)), *(pa.array(code[:, b]) for b in range(BANDS))], schema=kinds)
+                    img, scale, x, y, code = described(np.stack([p for _, p in got]))
+                    order = np.argsort(img, kind="stable")
+                    rows = np.empty(len(img), CORNER)
+                    rows["scale"], rows["x"], rows["y"], rows["code"] = scale, x, y, code
+                    ends = np.cumsum(np.bincount(img, minlength=len(got)))
+                    for (sha, _), own in zip(got, np.split(rows[order], ends[:-1])):
+                        blobs[sha] = own.tobytes() or None
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([blobs[s] for s in shas], pa.binary())], schema=kinds)
 
-    return images.select("image", "data").mapInArrow(run, CORNER)
+    return images.select("id", "data", "sha").mapInArrow(run, KNOWN)
+
+
+def table_words(found: DataFrame) -> DataFrame:
+    """A row for each corner of (image, corners) and each of its table words: `word` is the word with its band and scale; `rest` and `last` hold the other words and the place."""
+    kinds = arrow_schema(WORD)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                blobs = part.column(1).to_pylist()
+                rows = np.frombuffer(b"".join(blobs), CORNER)
+                image = np.repeat(part.column(0).to_numpy(), [len(b) // CORNER.itemsize for b in blobs])
+                code, place = rows["code"].astype(np.int64), (rows["x"].astype(np.int64) << 16) | rows["y"]
+                for band in range(BANDS):
+                    a, b, c = (code[:, k] for k in range(BANDS) if k != band)
+                    word = ((rows["scale"].astype(np.int64) * BANDS + band) << 32) | code[:, band]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (word, image, (a << 32) | b, (c << 32) | place)], schema=kinds)
+
+    return found.select("image", "corners").filter("corners is not null and image is not null").mapInArrow(run, WORD)
+
+
+def matched(words: DataFrame) -> DataFrame:
+    """(a, b, scale, at, dx, dy): corners of two images with a common table word and at most NEAR differing bits; at: the place in a.  A match may come more than once."""
+    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = words.join(seen, "word")
+    far = lambda a, b: F.bit_count(F.col(f"{a}.rest").bitwiseXOR(F.col(f"{b}.rest"))) + F.bit_count(F.shiftright(F.col(f"{a}.last").bitwiseXOR(F.col(f"{b}.last")), 32))
+    x = lambda t: F.expr(f"cast(shiftright({t}.last, 16) & 65535 as int)")
+    y = lambda t: F.expr(f"cast({t}.last & 65535 as int)")
+    out = (F.col("a.image").alias("a"), F.col("b.image").alias("b"), F.expr(f"cast(shiftright(a.word, 32) div {BANDS} as int)").alias("scale"), F.expr("cast(a.last & 4294967295 as long)").alias("at"), (x("b") - x("a")).alias("dx"), (y("b") - y("a")).alias("dy"))
+    near = (F.col("a.image") < F.col("b.image")) & (far("a", "b") <= NEAR)
+    light = placed.filter(F.col("n") <= DENSE).drop("n")
+    pairs = light.alias("a").join(light.alias("b"), (F.col("a.word") == F.col("b.word")) & near).select(*out)
+    dense = placed.filter(F.col("n") > DENSE).drop("n")
+    hubs = dense.groupBy("word").agg(F.min(F.struct("image", "rest", "last")).alias("h")).select("word", "h.*")
+    return pairs.union(hubs.alias("a").join(dense.alias("b"), (F.col("a.word") == F.col("b.word")) & near).select(*out))
+
+
+def agreed(matches: DataFrame) -> DataFrame:
+    """(a, b) of images with CONSENSUS matches of distinct corners within OFFSET of one match's offset.  An image has at most CORNERS corners of a scale, so a group has at most their square."""
+    groups = matches.groupBy("a", "b", "scale").agg(F.collect_set(F.struct("at", "dx", "dy")).alias("m")).filter(F.size("m") >= CONSENSUS)
+    agree = F.expr(f"exists(m, c -> size(array_distinct(transform(filter(m, v -> abs(v.dx - c.dx) <= {OFFSET} and abs(v.dy - c.dy) <= {OFFSET}), v -> v.at))) >= {CONSENSUS})")
+    return groups.filter(agree).select("a", "b").distinct()
 
 
 def copies(images: DataFrame, id_col: str = "image_id", data_col: str = "data") -> DataFrame:
     """(image_id, class_id, n_links) of every image: the least id of its copies, and to how many different images it is linked."""
-    rows = images.select(F.col(id_col).alias("id"), F.col(data_col).alias("data")).withColumn("sha", F.coalesce(F.sha2("data", 256), F.concat(F.lit("null "), F.col("id").cast("string"))))
-    ids = written(rows.groupBy("id").agg(F.min("sha").alias("sha")), "images")
-    reps = ids.groupBy("sha").agg(F.min("id").alias("image"))
-    one = rows.join(reps, (rows["id"] == reps["image"]) & (rows["sha"] == reps["sha"])).select("image", "data").dropDuplicates(["image"])
-    found = written(corners(one), "corners")
-    words = found.select("*", F.posexplode(F.array(*(f"w{b}" for b in range(BANDS)))).alias("band", "word"))
-    full = words.groupBy("scale", "band", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("image", "x", "y", *(f"w{b}" for b in range(BANDS)))).alias("hub")).filter("n > 1")
-    placed = words.join(full, ["scale", "band", "word"])
-    light = placed.filter(F.col("n") <= DENSE).drop("hub")
-    a, b = light.alias("a"), light.alias("b")
-    far = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(BANDS)), F.lit(0))
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("scale", "band", "word")]
-    pairs = a.join(b, same[0] & same[1] & same[2] & (F.col("a.image") < F.col("b.image")) & (far <= NEAR))
-    pairs = pairs.select(F.col("a.image").alias("a"), F.col("b.image").alias("b"), F.col("a.scale").alias("scale"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-    hub_far = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"hub.w{k}"))) for k in range(BANDS)), F.lit(0))
-    dense = placed.filter((F.col("n") > DENSE) & (F.col("hub.image") < F.col("image")) & (hub_far <= NEAR))
-    dense = dense.select(F.col("hub.image").alias("a"), F.col("image").alias("b"), "scale", F.col("hub.x").alias("ax"), F.col("hub.y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    matches = pairs.union(dense).distinct()
-    # an offset and its neighbours share one of the cells of four shifted grids
-    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("g")
-    votes = matches.select("a", "b", "scale", "ax", "ay", F.expr("bx - ax").alias("dx"), F.expr("by - ay").alias("dy"), shifts)
-    cell = lambda d, g: F.floor((F.col(d) + F.col(g) * (OFFSET // 2 + 1)) / (OFFSET + 1))
-    votes = votes.groupBy("a", "b", "scale", "g", cell("dx", "g.i").alias("cx"), cell("dy", "g.j").alias("cy")).agg(F.countDistinct("ax", "ay").alias("n"))
-    edges = written(votes.filter(F.col("n") >= CONSENSUS).select("a", "b").distinct(), "copies")
+    rows = images.select(F.col(id_col).alias("id"), F.col(data_col).alias("data")).withColumn("sha", F.coalesce(F.sha2("data", 256), F.concat(F.lit("null "), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    found = written(corners(rows), "corners")
+    ids = written(found.groupBy("id").agg(F.min("sha").alias("sha")), "images")
+    reps = written(ids.groupBy("sha").agg(F.min("id").alias("image")), "images")
+    one = found.groupBy("sha").agg(F.first("corners").alias("corners")).join(reps, "sha")
+    edges = written(agreed(matched(table_words(one))), "copies")
     roots = components(edges)
     degree = edges.select(F.col("a").alias("image")).union(edges.select("b")).groupBy("image").agg(F.count(F.lit(1)).alias("links"))
     of = reps.join(roots, reps["image"] == roots["node"], "left").join(degree, "image", "left").select("sha", F.coalesce("root", "image").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
