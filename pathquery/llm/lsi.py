@@ -37,6 +37,8 @@ COSINE, SURE, LIKELY, ANSWER, SHORT = 0.4, 0.7, 0.5, 0.8, 8
 ITEMS = 2_000
 #: Rows of Y to a message between tasks.
 CHUNK = 256
+#: Texts whose features are marked, and words that are added up at a time in the first two passes.
+TEXTS, ROWS = 256, 8_192
 #: Passages that are projected at a time, slots for the hashes of an item's words, and words of regions that are counted at a time.
 BLOCK, SLOTS, CELLS = 2_048, 1 << 12, 1 << 16
 _lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -87,9 +89,13 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]
     def count(batches):
         n, docs = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n[np.unique(features(list(set(words(t)))))] += 1
-                docs += 1
+            for part in slices(batch, text_col, 1_000_000):
+                for i in range(0, part.num_rows, TEXTS):
+                    split = [words(t) for t in part.column(0).slice(i, TEXTS).to_pylist()]
+                    there = np.zeros((len(split), FEATURES), bool)
+                    there[np.repeat(np.arange(len(split)), [len(ws) for ws in split]), np.concatenate([features(ws) for ws in split])] = True
+                    n += there.sum(axis=0)
+                    docs += len(split)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs))], schema=kinds)
 
@@ -113,7 +119,7 @@ def right_vectors(df: DataFrame, text_col: str, idf: np.ndarray) -> np.ndarray:
 
     def add(batches):
         column, sign, weight = sent.value
-        y = np.zeros((RANK, FEATURES))
+        y = np.zeros((FEATURES, RANK))
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
                 h, starts, counts = halves([words(t) for t in part.column(0).to_pylist()])
@@ -127,10 +133,16 @@ def right_vectors(df: DataFrame, text_col: str, idf: np.ndarray) -> np.ndarray:
                 mine = np.repeat(np.arange(n), np.diff(np.append(begin, len(f))))
                 w = weight[f]
                 w = w / np.sqrt(np.add.reduceat(w * w, begin))[mine]
-                p = sum(np.bincount(mine * RANK + column[k][f], w * sign[k][f], n * RANK) for k in range(SIGNS)).reshape(n, RANK).T.copy()
-                for j in range(RANK):
-                    y[j] += np.bincount(f, w * p[j][mine], FEATURES)
-        y = y.T
+                p = sum(np.bincount(mine * RANK + column[k][f], w * sign[k][f], n * RANK) for k in range(SIGNS)).reshape(n, RANK).astype(np.float32)
+                # words in the order of their features, so that a run of rows adds up to a row of y
+                order = np.argsort(f.astype(np.int16), kind="stable")
+                f, w, mine = f[order], w[order].astype(np.float32), mine[order]
+                for at in range(0, len(f), ROWS):
+                    own = f[at : at + ROWS]
+                    x = p[mine[at : at + ROWS]]
+                    x *= w[at : at + ROWS, None]
+                    runs = np.flatnonzero(np.diff(own, prepend=-1))
+                    y[own[runs]] += np.add.reduceat(x, runs, axis=0)
         for c in range(0, FEATURES, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([y[c : c + CHUNK].astype(np.float32)[: FEATURES - c].tobytes()])], schema=kinds)
 
