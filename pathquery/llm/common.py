@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to Python code in slices of about this many bytes, whatever Arrow's batches hold.
 SLICE_BYTES = 2_000_000
+#: The planner's sizes from here on are no estimates, but stand for unknown ones.
+UNKNOWN_BYTES = 1 << 55
 
 
 def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -90,8 +92,10 @@ def map_slices(df: DataFrame, cols: list, text_col: str, schema: str, make: Call
 
 
 def block_count(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """How many blocks of about `bytes_each` bytes the planner sees in df's files."""
+    """How many blocks of about `bytes_each` bytes the planner sees in df's files; spark.sql.shuffle.partitions where it can't tell (rows that aren't from files)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(1 << 20, -(-size // bytes_each)))
 
 
