@@ -125,8 +125,8 @@ def corners(images: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
                 shas, by, blobs = part.column(2).to_pylist(), {}, {}
                 for sha, data in zip(shas, part.column(1).to_pylist()):
                     if sha not in blobs:
