@@ -5,6 +5,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,43 @@ def test_lsi(spark):
     assert got == {(100, 0), (101, 1), (100, 2)}
 
 
+def test_lsi_loses_no_pair(spark):
+    """Against the longest common subsequence of every item with every window of every text."""
+    import random
+
+    r = random.Random(7)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
+    some = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [some(40) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        item = items[i % 12]
+        kept = [w for w in item[:-8] if r.random() > i % 6 / 10] + item[-8:]
+        spread = [x for w in kept for x in ([w] if r.random() < 0.6 else [w, *some(1)])]
+        rows.append((i, " ".join(some(r.randint(0, 60)) + spread + some(r.randint(0, 60)))))
+    other = [(1000 + i, " ".join("z" + r.choice(vocab) for _ in range(400))) for i in range(400)]  # most of the latent space is theirs
+    got = {(x.doc_id, x.item_id) for x in lsi.contaminated(spark.createDataFrame(rows + other, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x[:-8]) + ". " + " ".join(x[-8:]) + ".") for k, x in enumerate(items)], "item_id long, text string")).collect()}
+
+    def brute(size):
+        out = set()
+        for i, t in rows:
+            w = lsi.words(t)
+            for k, x in enumerate(items):
+                x = [a.encode() for a in x]
+                for at in range(max(1, len(w) - len(x) - size + 1)):
+                    window = w[at : at + len(x) + size]
+                    share = lsi.common_subsequence(x, window) / len(x)
+                    if share >= lsi.SURE or share >= lsi.LIKELY and lsi.common_subsequence(x[-8:], window) / 8 >= lsi.ANSWER:
+                        out.add((i, k))
+                        break
+        return out
+
+    assert brute(2 * lsi.HALF) <= got <= brute(4 * lsi.HALF) and len(got) > 90
+    # nor does the latent space decide: one that knows nothing of the words
+    blind = lsi.Items(list(range(12)), [" ".join(x[:-8]) + ". " + " ".join(x[-8:]) + "." for x in items], np.zeros((lsi.FEATURES, lsi.RANK), np.float32))
+    assert {(rows[x[0]][0], x[1]) for x in blind.search([t for _, t in rows])} == got
+
+
 def test_images(spark):
     vectors = spark.createDataFrame([(i, [float(i // 2)] * 3) for i in range(8)], "vec_id long, embedding array<double>")
     made = images.rendered(vectors).union(spark.createDataFrame([(99, None), (98, b"junk")], "image_id long, data binary"))
