@@ -45,17 +45,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every text."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, keep: tuple = ()) -> DataFrame:
+    """id, the columns `keep` and fp (the fingerprint as a signed long) of every text."""
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
             fp = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64)
-            return {id_col: part.column(0), "fp": fp.view(np.int64)}
+            return {id_col: part.column(0), **{c: part.column(c) for c in keep}, "fp": fp.view(np.int64)}
 
         return run
 
-    return map_slices(df, [id_col, text_col], text_col, f"{id_col} {df.schema[id_col].dataType.simpleString()}, fp long", make)
+    return map_slices(df, [id_col, text_col, *keep], text_col, f"{kinds}fp long", make)
 
 
 def signed(x: int) -> int:
@@ -103,12 +104,12 @@ def links(fps: DataFrame, bits: int = 2, groups: int = 5) -> DataFrame:
     return pairs.union(star)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, groups: int = 5) -> DataFrame:
-    """id, fp, component_id (the least id reachable) of every row."""
-    fps = written(fingerprints(df, id_col, text_col, words), "fingerprints")
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, groups: int = 5, keep: tuple = ()) -> DataFrame:
+    """id, fp, component_id (the least id reachable) of every row; with `keep` also these columns and root (the component's least fp)."""
+    fps = written(fingerprints(df, id_col, text_col, words, keep), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(nodes.select("fp"), bits, groups))
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    named = grouped.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select(id_col, "fp", "component_id", *((*keep, "root") if keep else ()))

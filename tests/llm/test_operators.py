@@ -222,3 +222,19 @@ def test_images(spark):
     got = {r.image_id: r for r in images.copies(made).collect()}
     assert len(got) == 18
     assert all(got[i].class_id == i // 4 * 4 for i in range(16)) and got[99].class_id == 99 and got[98].n_links == 0
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)) + "." for _ in range(8)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (None, texts[2]), (None, texts[3]), (None, texts[0]), (2, texts[4]), (3, texts[4]), (None, texts[5]), (None, texts[5]), (4, None)]
+    docs = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, source string")
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (None, texts[5]), (None, texts[5]), (4, None)])
+    spark.createDataFrame([(0, texts[2]), (1, texts[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect())
+    assert got == Counter(x for x in rows if x[1] not in (texts[1], texts[2]))
