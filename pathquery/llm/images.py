@@ -6,9 +6,8 @@ pixel pairs give its descriptor.  Descriptors are cut into BANDS words and meet
 with fewer than BANDS differing bits share one for certain); matches within NEAR bits vote for the copy's offset at their
 scale, and CONSENSUS matches of distinct corners with one offset make two images copies.  Links give classes.
 
-Skew.  Equal images are collapsed by their hash before anything meets (one of each goes on).  Within a table word, equal
-descriptors of many images would meet in pairs: in words with more than DENSE corners, corners meet those of the word's
-first image alone, so that copies of one image still reach each other through it.
+Skew.  Equal images are collapsed by their hash before anything meets (one of each goes on).  Within a table word all
+corners of different images meet, however many there are, so that a large group of edited copies meets in pairs.
 
 Defined results: a null or unreadable image has no corner and is a class of its own; equal images are one class; rows
 that repeat an id are taken as one image (the least by hash); a null id has a null class and no link; an empty table
@@ -27,7 +26,7 @@ from .components import components
 
 SCALES = (1.0, 0.7)
 CORNERS, RADIUS, STEPS, BITS, BANDS = 24, 11, 24, 128, 4
-NEAR, CONSENSUS, OFFSET, DENSE = 12, 4, 3, 200
+NEAR, CONSENSUS, OFFSET = 12, 4, 3
 _rng = np.random.Generator(np.random.PCG64(5))
 _tests = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS / 1.5, RADIUS / 1.5)
 _turned = np.stack([np.rint(_tests @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])).astype(np.int64) for t in np.arange(STEPS) * 2 * np.pi / STEPS])
@@ -168,15 +167,14 @@ def table_words(found: DataFrame) -> DataFrame:
 
 def matched(words: DataFrame) -> DataFrame:
     """(a, b, scale, at, dx, dy): corners of two images with a common table word and at most NEAR differing bits; at: the place in a.  A match may come more than once."""
-    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("image").alias("hub")).filter("n > 1")
-    placed = words.join(seen, "word")
+    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = words.join(seen, "word").drop("n")
     far = lambda a, b: F.bit_count(F.col(f"{a}.rest").bitwiseXOR(F.col(f"{b}.rest"))) + F.bit_count(F.shiftright(F.col(f"{a}.last").bitwiseXOR(F.col(f"{b}.last")), 32))
     x = lambda t: F.expr(f"cast(shiftright({t}.last, 16) & 65535 as int)")
     y = lambda t: F.expr(f"cast({t}.last & 65535 as int)")
     out = (F.col("a.image").alias("a"), F.col("b.image").alias("b"), F.expr(f"cast(shiftright(a.word, 32) div {BANDS} as int)").alias("scale"), F.expr("cast(a.last & 4294967295 as long)").alias("at"), (x("b") - x("a")).alias("dx"), (y("b") - y("a")).alias("dy"))
     near = (F.col("a.image") < F.col("b.image")) & (far("a", "b") <= NEAR)
-    first = placed.filter((F.col("n") <= DENSE) | (F.col("image") == F.col("hub")))
-    return first.alias("a").join(placed.alias("b"), (F.col("a.word") == F.col("b.word")) & near).select(*out)
+    return placed.alias("a").join(placed.alias("b"), (F.col("a.word") == F.col("b.word")) & near).select(*out)
 
 
 def agreed(matches: DataFrame) -> DataFrame:

@@ -238,3 +238,11 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([(0, texts[2]), (1, texts[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = Counter((x.doc_id, x.text) for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect())
     assert got == Counter(x for x in rows if x[1] not in (texts[1], texts[2]))
+
+
+def test_images_frequent_words(spark):
+    """Two corners that are alike meet in a word of many corners, though the word's first image is unlike both."""
+    far = lambda i: (i * 0x9E3779B97F4A7C15) % 2**63
+    rows = [(5, i, far(i + 1), far(i + 7) >> 32 << 32) for i in range(300)] + [(5, 1000 + i, 0, i << 16 | 9) for i in range(3)]
+    got = images.matched(spark.createDataFrame(rows, images.WORD)).filter("a >= 1000").collect()
+    assert {(r.a, r.b, r.dx, r.dy) for r in got} == {(1000, 1001, 1, 0), (1000, 1002, 2, 0), (1001, 1002, 1, 0)}
