@@ -7,11 +7,11 @@ and two neighbouring halves are a passage.  Three passes over all texts:
 2. a distributed randomised SVD of the TF-IDF matrix A of all passages: each task adds up its rows' share of A'(A R) for
    a random R (sparse signs: SIGNS of them for a feature), and the driver, which only ever holds FEATURES x RANK numbers, gets singular values and vectors from
    A'A ~ Y (R'Y)^-1 Y' (Nystroem);
-3. each passage is compared with each part of an item: the longest common subsequence of the item's words and of the
-   text around the passage decides, with an answer check: the item's last sentence.  Only regions that share too few
-   words with the item for that subsequence (two upper bounds of it, a quick one and one of words counted with repeats)
-   skip it, so that no pair is lost.  Both passages of what is left are projected to whitened latent vectors; their
-   cosine is reported and excludes nothing (a cosine of 0.4 as a condition lost a fifth of the pairs).
+3. each item is placed at the beginning of each half: the longest common subsequence of the item's words and of the text
+   from one half before to three halves behind that place decides, with an answer check: the item's last sentence.  Only
+   regions that share too few words with the item for that subsequence (words counted with repeats, which is an upper
+   bound of it) skip it, so that no pair is lost.  Passages and parts of the item there are projected to whitened latent
+   vectors; their highest cosine is reported and excludes nothing (a cosine of 0.4 as a condition lost a fifth of the pairs).
 
 A text contains an item if LCS / item words is at least SURE, or at least LIKELY and the answer's words are there by the
 same measure of at least ANSWER.  Benchmark items are the stated query set: they are taken in blocks of ITEMS, each sent
@@ -24,7 +24,6 @@ empty benchmark or an empty table gives an empty result; items of fewer words th
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,43 +39,51 @@ ITEMS = 2_000
 CHUNK = 256
 #: Texts whose features are marked, and words that are added up at a time in the first two passes.
 TEXTS, ROWS = 256, 8_192
-#: Passages that are looked at at a time, slots for the hashes of an item's words, and words of regions that are counted at a time.
-BLOCK, SLOTS, CELLS = 2_048, 1 << 12, 1 << 16
+#: Slots for the hashes of items' words, and counts of words in halves that are held at a time.
+SLOTS, CELLS = 1 << 20, 1 << 24
 _lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz     ")
 _drop = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def cleaned(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").translate(_lower, _drop)
+
+
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_lower, _drop).split()
+    return cleaned(text).split()
 
 
-def hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, ws), np.int64, len(ws))
+_spread = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+_powers: list[np.ndarray] = []
 
 
-def features(ws: list[bytes]) -> np.ndarray:
-    return hashes(ws) % FEATURES
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, n or more of each."""
+    if not _powers or len(_powers[0]) < n:
+        base, size = 0x9E3779B97F4A7C15, max(n, 1 << 21)
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, pow(base, -1, 2**64))]
+    return _powers
 
 
-def halves(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, where each half begins, and how many halves each text has (none without words)."""
-    counts = np.array([-(-len(ws) // HALF) for ws in texts], np.int64)
-    at, starts = 0, []
-    for ws in texts:
-        starts.append(np.arange(at, at + len(ws), HALF))
-        at += len(ws)
-    parts = [hashes(ws) for ws in texts if ws]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(starts) if starts else np.zeros(0, np.int64), counts
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all words of cleaned texts, and each text's number of words."""
+    a = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    space = a == 32
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1  # a starts and ends with a space
+    begin, end = change[::2], change[1::2]
+    power, inverse = powers(len(a))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_spread[a] * power[: len(a)])])
+    h = (total[end] - total[begin]) * inverse[begin]
+    h ^= h >> np.uint64(31)
+    edges = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64), np.diff(np.searchsorted(begin, edges))
 
 
-def paired(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of each half and the next of its text; a text's last half stands alone."""
-    out = x.copy()
-    inner = np.ones(len(x), bool)
-    inner[(np.cumsum(counts) - 1)[counts > 0]] = False
-    at = np.flatnonzero(inner)
-    out[at] += x[at + 1]
-    return out
+def halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each half begins in the words of all texts, and how many halves each text has (none without words), of numbers of words."""
+    n = -(-counts // HALF)
+    first = np.cumsum(n) - n
+    return np.repeat(np.cumsum(counts) - counts, n) + (np.arange(n.sum()) - np.repeat(first, n)) * HALF, n
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -92,11 +99,11 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
                 for i in range(0, part.num_rows, TEXTS):
-                    split = [words(t) for t in part.column(0).slice(i, TEXTS).to_pylist()]
-                    there = np.zeros((len(split), FEATURES), bool)
-                    there[np.repeat(np.arange(len(split)), [len(ws) for ws in split]), np.concatenate([features(ws) for ws in split])] = True
+                    h, counts = hashed([cleaned(t) for t in part.column(0).slice(i, TEXTS).to_pylist()])
+                    there = np.zeros((len(counts), FEATURES), bool)
+                    there[np.repeat(np.arange(len(counts)), counts), h % FEATURES] = True
                     n += there.sum(axis=0)
-                    docs += len(split)
+                    docs += len(counts)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs))], schema=kinds)
 
@@ -123,10 +130,10 @@ def right_vectors(df: DataFrame, text_col: str, idf: np.ndarray) -> np.ndarray:
         y = np.zeros((FEATURES, RANK))
         for batch in batches:
             for part in slices(batch, text_col, 1_000_000):
-                h, starts, counts = halves([words(t) for t in part.column(0).to_pylist()])
+                h, n_words = hashed([cleaned(t) for t in part.column(0).to_pylist()])
                 if not len(h):
                     continue
-                f = h % FEATURES
+                f, (starts, counts) = h % FEATURES, halves(n_words)
                 # passages that don't overlap: halves 0+1, 2+3, ... of each text
                 first = np.cumsum(counts) - counts
                 begin = starts[(np.arange(len(starts)) - np.repeat(first, counts)) % 2 == 0]
@@ -204,122 +211,102 @@ def answer_of(text: str) -> list[bytes]:
     return []
 
 
+def windows(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of `width` neighbours, at each place of a row of cells."""
+    out, at, size, n = None, 0, 1, len(x) - width + 1
+    while True:
+        if width & size:
+            out = x[at : at + n].copy() if out is None else np.add(out, x[at : at + n], out=out)
+            at += size
+        size *= 2
+        if size > width:
+            return out
+        x = x[: -size // 2] + x[size // 2 :]
+
+
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
     def __init__(self, ids: list, texts: list[str], vectors: np.ndarray):
         self.ids, self.words, self.answers = ids, [words(t) for t in texts], [answer_of(t) for t in texts]
         self.places = [places(ws) for ws in self.words]
-        self.vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+        self.vectors = vectors
         self.length = np.array([len(ws) for ws in self.words], np.int64)
         self.least = np.where(self.length < SHORT, self.length, np.ceil(LIKELY * self.length)).astype(np.int64)
-        # an item's words by the slots of their hashes: a slot's place in the item (0: not there) and how often it is there
-        self.place, counts = np.zeros((len(ids), SLOTS + 1), np.int32), []
-        for i, ws in enumerate(self.words):
-            slots, n = np.unique(hashes(ws) % SLOTS, return_counts=True)
-            self.place[i, slots] = np.arange(1, len(slots) + 1)
-            counts.append(n)
-        self.often = np.zeros((len(ids), 1 + max(map(len, counts))), np.int64)
-        for i, n in enumerate(counts):
-            self.often[i, 1 : 1 + len(n)] = n
+        # words of items by their slots, and how often each is in an item; words that share a slot count as one, which only raises a bound
+        h, _ = hashed([cleaned(t) for t in texts])
+        cut = np.split(h, np.cumsum(self.length)[:-1])
+        slots = np.unique(h % SLOTS)
+        self.row = np.full(SLOTS, len(slots), np.int32)
+        self.row[slots] = np.arange(len(slots), dtype=np.int32)
+        self.rows = len(slots)
+        self.own = []  # an item's rows; and which of them it has a second, third, ... time
+        for x in cut:
+            rows, n = np.unique(self.row[x % SLOTS], return_counts=True)
+            more = [(j, k) for j, m in enumerate(n.tolist()) for k in range(2, m + 1)]
+            self.own.append((rows, np.array([j for j, _ in more], np.int64), np.array([k for _, k in more], np.int64)))
+        self.end = 3 + -(-self.length // HALF)  # halves from a place's own to behind its region
         step = 2 * HALF
-        parts, item, offset = [], [], []
-        for i, ws in enumerate(self.words):
-            for at in sorted({*range(0, max(1, len(ws) - step + 1), step), max(0, len(ws) - step)}):
-                parts.append(ws[at : at + step])
-                item.append(i)
-                offset.append(at)
-        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
-        self.queries = np.ascontiguousarray(unit(np.stack([vectors[features(p)].sum(axis=0) for p in parts])).T)
-
-    def near(self, slots: np.ndarray, starts: np.ndarray):
-        """(half, query) arrays of the passages and parts of items whose regions may share enough words with the item.
-
-        Counted are the region's words that are in the item, but for the item's common words, which are taken as shared
-        in full; regions are widened to whole halves.  All that only raises the bound, so that nothing is lost.
+        self.parts = [np.array(sorted({*range(0, max(1, n - step + 1), step), max(0, n - step)})) for n in self.length.tolist()]
+        self.queries = [unit(np.stack([vectors[x[at : at + step] % FEATURES].sum(axis=0) for at in o.tolist()])) for x, o in zip(cut, self.parts)]
+
+    def near(self, h: np.ndarray, starts: np.ndarray):
+        """(half, item) arrays of places whose regions share enough words with the item, counted with repeats: no common subsequence is longer than that.
+
+        Regions are widened to whole halves, and run on into the next text: that only raises the bound, so that nothing is lost.
         """
-        n = len(self.ids)
-        expected = (np.bincount(slots, minlength=SLOTS) / max(1, len(slots)))[:, None] * (self.length + 4 * HALF)
-        own = np.take_along_axis(self.often, self.place[:, :SLOTS], 1).T
-        counted = np.zeros((SLOTS + 1, n), np.uint8)
-        counted[:SLOTS] = (own > 0) & (expected <= own)
-        least = self.least - np.where(counted[:SLOTS] == 0, own, 0).sum(axis=0)
-        first = (-self.offset - HALF) // HALF  # halves from a passage's own to its region's first and behind its last
-        end = -((self.offset - self.length[self.item] - 3 * HALF) // HALF)
-        kinds = {k: np.flatnonzero((first == k[0]) & (end == k[1])) for k in {*zip(first.tolist(), end.tolist())}}
-        before, after = -int(first.min()), int(end.max())
-        padded, stop = np.append(slots, SLOTS), np.append(starts[1:], len(slots))
-        for at in range(0, len(starts), BLOCK):
-            size = min(BLOCK, len(starts) - at)
-            some = np.arange(at - before, at + size + after)
-            inside = (some >= 0) & (some < len(starts))
-            begin, behind = np.where(inside, starts.take(some, mode="clip"), len(slots)), np.where(inside, stop.take(some, mode="clip"), 0)
-            sums = np.zeros((len(some) + 1, n), np.int32)
-            half = np.zeros((len(some), n), np.uint8)
-            for k in range(HALF):
-                half += counted[padded[np.where(begin + k < behind, begin + k, len(slots))]]
-            np.cumsum(half, axis=0, dtype=np.int32, out=sums[1:])
+        row = self.row[h % SLOTS]
+        half = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+        known = np.flatnonzero(row < self.rows)
+        row, half, after = row[known].astype(np.int64), half[known], int(self.end.max())
+        block = max(64, CELLS // self.rows)
+        for at in range(0, len(starts), block):
+            size = min(block, len(starts) - at)
+            wide = size + after + 1  # with the half before
+            lo, hi = np.searchsorted(half, (at - 1, at - 1 + wide))
+            cells, n = np.unique(row[lo:hi] * wide + half[lo:hi] - (at - 1), return_counts=True)
+            there = np.zeros((self.rows, wide), np.uint8)
+            there.ravel()[cells] = n
             found = []
-            for (lo, hi), queries in kinds.items():
-                item = self.item[queries]
-                there = sums[before + hi : before + hi + size] - sums[before + lo : before + lo + size]
-                p, q = np.divmod(np.flatnonzero((there >= least)[:, item].ravel()), len(queries))
-                found.append((p + at, queries[q]))
+            for i, (rows, more, often) in enumerate(self.own):
+                kind = np.uint8 if (self.end[i] + 1) * HALF < 256 else np.uint32
+                x = there[rows].astype(kind, copy=False)
+                # all rows at once; sums that run on into the next row are behind the places that count
+                x.ravel()[: x.size - self.end[i]] = windows(x.ravel(), int(self.end[i]) + 1)
+                total = np.add.reduce((x[:, :size] > 0).view(np.uint8), axis=0, dtype=kind)
+                if len(more):
+                    total += np.add.reduce((x[more, :size] >= often.astype(kind)[:, None]).view(np.uint8), axis=0, dtype=kind)
+                p = np.flatnonzero(total >= self.least[i])
+                found.append((p + at, np.full(len(p), i)))
             yield tuple(np.concatenate(x) for x in zip(*found))
 
-    def cosines(self, h: np.ndarray, starts: np.ndarray, counts: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Cosines of passages p and parts q of items in the latent space."""
-        last = np.zeros(len(starts), bool)
-        last[(np.cumsum(counts) - 1)[counts > 0]] = True
-        some, at = np.unique(p, return_inverse=True)
-        after = np.minimum(some + 1, len(starts) - 1)  # a text's last half stands alone
-        padded, stop = np.append(h % FEATURES, FEATURES), np.append(starts[1:], len(h))
-        z = np.zeros((len(some), self.vectors.shape[1]), np.float32)
-        for halves_, there in ((some, np.ones(len(some), bool)), (after, ~last[some])):
-            for k in range(HALF):
-                place = starts[halves_] + k
-                z += self.vectors[padded[np.where(there & (place < stop[halves_]), place, len(h))]]
-        return np.einsum("ij,ij->i", unit(z)[at], self.queries.T[q])
-
-    def possible(self, slots: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Which of the regions slots[lo:hi] share enough words with their items, counted with repeats: no common subsequence is longer than that."""
-        out = np.zeros(len(item), bool)
-        order = np.argsort(hi - lo, kind="stable")
-        size, wide = (hi - lo)[order], self.often.shape[1]
-        padded = np.append(slots, np.full(int(size[-1]) if len(size) else 0, SLOTS, np.int32))
-        at = 0
-        while at < len(order):
-            end = int(np.searchsorted(size, size[at] + HALF, "right"))
-            end = min(end, at + max(1, CELLS // int(size[end - 1] + wide)))
-            some, at = order[at:end], end
-            # a shorter region is read on to the longest one's size: that only raises its bound
-            seen = np.lib.stride_tricks.sliding_window_view(padded, int(size[end - 1]))[lo[some]]
-            place = self.place.ravel().take(seen + (item[some] * (SLOTS + 1))[:, None])
-            there = np.bincount((place + (np.arange(len(some)) * wide)[:, None]).ravel(), minlength=len(some) * wide).reshape(-1, wide)
-            out[some] = np.minimum(there, self.often[item[some]]).sum(axis=1) >= self.least[item[some]]
-        return out
+    def cosine(self, f: np.ndarray, i: int, begins: list[int]) -> float:
+        """The highest cosine in the latent space of item i's parts and the passages that they would be at, with the item beginning at the words `begins` of a text with features f."""
+        best = -1.0
+        for q, o in zip(self.queries[i], self.parts[i].tolist()):
+            for at in {max(0, b + o) // HALF * HALF for b in begins}:
+                z = self.vectors[f[at : at + 2 * HALF]].sum(axis=0)
+                best = max(best, float(q @ z) / max(1e-30, float(np.linalg.norm(z))))
+        return best
 
     def search(self, texts: list[str | None]):
         """(text number, item number, cosine, LCS share, answer share, first word) of what is contained."""
-        split = [words(t) for t in texts]
-        h, starts, counts = halves(split)
+        clean = [cleaned(t) for t in texts]
+        h, lengths = hashed(clean)
         if not len(h):
             return
-        text = np.repeat(np.arange(len(counts)), counts)
-        lengths = np.array([len(ws) for ws in split], np.int64)
-        begin, slots = np.cumsum(lengths) - lengths, (h % SLOTS).astype(np.int32)
-        best: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
-        for p, q in self.near(slots, starts):
-            d, i = text[p], self.item[q]
-            shift = starts[p] - begin[d] - self.offset[q]  # where the item would begin
-            # parts of one item that place it at one word have one region
-            _, one, of = np.unique(((d - d[:1]) * 2 * (len(h) + int(self.length.max())) + shift) * len(self.ids) + i, return_index=True, return_inverse=True)
-            lo, hi = begin[d] + np.maximum(0, shift - HALF), begin[d] + np.minimum(lengths[d], shift + self.length[i] + 3 * HALF)
-            ok = self.possible(slots, i[one], lo[one], hi[one])[of]
-            for *key, at, half, part in zip(*(x[ok].tolist() for x in (d, i, shift, p, q))):
-                best.setdefault(tuple(key), {}).setdefault(at, []).append((half, part))
+        starts, counts = halves(lengths)
+        text, begin = np.repeat(np.arange(len(counts)), counts), np.cumsum(lengths) - lengths
+        best: dict[tuple[int, int], list[int]] = {}
+        for p, i in self.near(h, starts):
+            d = text[p]
+            for *key, at in zip(d.tolist(), i.tolist(), (starts[p] - begin[d]).tolist()):
+                best.setdefault(tuple(key), []).append(at)
+        split: dict[int, list[bytes]] = {}
         for (d, i), shifts in sorted(best.items()):
             item, top = self.words[i], None
+            if d not in split:
+                split = {d: clean[d].split()}
             for shift in sorted(shifts):
                 lo = max(0, shift - HALF)
                 region = split[d][lo : shift + len(item) + 3 * HALF]
@@ -329,8 +316,8 @@ class Items:
                 if contained and (top is None or share > top[0]):
                     top = (share, answer, lo)
             if top is not None:
-                p, q = np.array([x for at in shifts.values() for x in at]).T
-                yield d, i, float(self.cosines(h, starts, counts, p, q).max()), *top
+                f = h[begin[d] : begin[d] + lengths[d]] % FEATURES
+                yield d, i, self.cosine(f, i, shifts), *top
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
