@@ -21,7 +21,7 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text"))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

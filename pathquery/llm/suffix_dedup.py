@@ -7,7 +7,8 @@ anchors at equal places, so that only windows of anchors with equal K bytes need
 anchor (two for every LENGTH - K + 1 bytes of text) stands for all windows that it owns, with their joint text, the
 segment, to its left and right.
 
-1. Segments are counted by (anchor hash, segment hash).  Windows of segments that occur twice are repeated.
+1. Segments are counted by (anchor hash, segment hash).  Windows of segments that occur twice are repeated.  Segments that
+   have over 1 / SHARES of all rows (hence fewer than SHARES) are broadcast to their rows, the others are joined to them.
 2. Of anchors with several different segments, one of each is compared.  Their suffixes (from the anchor on) are sorted
    where their text is, into runs that are front-coded (length of the prefix shared with the one before, and the rest),
    and exchanged by anchor; a loser tree merges the runs of a partition.  It keeps with each loser the length of the
@@ -20,7 +21,8 @@ segment, to its left and right.
    neighbours) skip 2 and 3: hashes of all windows of their segments are counted, with a combine before the exchange.
 
 Defined results: null text counts as the empty text; texts under LENGTH bytes lose nothing; repeated rows lose everything
-from LENGTH bytes on; rows that repeat an id are told apart by their text; an empty table gives an empty result.
+from LENGTH bytes on; rows that repeat an id are told apart by their text; ids may have any type; texts of 2^PLACE bytes
+and more are read in blocks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +36,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import arrow_schema, block_count, slices, written
 
 LENGTH, K = 400, 32
 #: Different segments of an anchor up to which suffixes are sorted and compared in one task.
 HOT = 4096
+#: A segment with more than this part of all rows is hot, and so are at most as many segments.
+SHARES = 4096
 #: Bits of places in a slice of texts; the hashes that choose anchors have the rest.
 PLACE = 28
 #: Segments to a sorted run, at most.
@@ -61,12 +66,17 @@ def kmer_hashes(a: np.ndarray) -> np.ndarray:
 def anchors(texts: list[bytes]):
     """(text number, anchor, first and last owned window, anchor hash) arrays; places are within the text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    if sizes.sum() >= 1 << PLACE:  # one very long text: blocks of its windows
+        step, out = (1 << PLACE) - LENGTH, []
+        for i, text in enumerate(texts):
+            for at in range(0, max(1, len(text) - LENGTH + 1), step):
+                _, *places, h = anchors([text[at : at + step + LENGTH - 1]])
+                out.append([np.full(len(h), i), *(x + at for x in places), h])
+        return [np.concatenate(x) for x in zip(*out)]
     long_ = np.flatnonzero(sizes >= LENGTH)
     if not len(long_):
         return [np.zeros(0, np.int64)] * 5
     a = np.frombuffer(b"".join(texts[i] for i in long_.tolist()), np.uint8)
-    if len(a) >= 1 << PLACE:
-        raise ValueError(f"a text has more than {1 << PLACE} bytes")
     h = kmer_hashes(a)
     mask = np.uint64((1 << PLACE) - 1)
     low = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
@@ -87,7 +97,7 @@ def anchors(texts: list[bytes]):
     return long_[d], own[new] - shift, at[new] - shift, at[last] - shift, h[own[new]].view(np.int64)
 
 
-ANCHOR = "d long, th int, pos long, kmer long, seg long"
+ANCHOR = "d long, th long, pos long, kmer long, seg long"
 #: pos packs the first owned window, how far the anchor and the last owned window are from it.
 LOW = (1 << 9) - 1
 
@@ -206,18 +216,19 @@ def repeats(group: list):
             yield own, anchor - int(l[good].max()), anchor + int(r[good].max())
 
 
-SPAN = "d long, th int, start long, end long"
+SPAN = "d long, th long, start long, end long"
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a key that tells rows of one id apart: d (the id), th (a hash of the text and of whether the id is null)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("d"), F.hash(text, F.col(id_col).isNull()).alias("th"), text.cast("binary").alias("text"))
+    d = F.col(id_col).cast("long") if isinstance(df.schema[id_col].dataType, IntegralType) else F.xxhash64(id_col)
+    return df.select(F.col(id_col).alias("id"), F.coalesce(d, F.lit(0)).alias("d"), F.xxhash64(text, F.col(id_col).isNull()).alias("th"), text.cast("binary").alias("text"))
 
 
 def squeezed(rows: DataFrame, kind: str) -> DataFrame:
     """Texts compressed, for an exchange."""
-    schema = f"id {kind}, d long, th int, z binary"
+    schema = f"id {kind}, d long, th long, z binary"
     kinds = arrow_schema(schema)
 
     def run(batches):
@@ -253,7 +264,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kmers = classes.groupBy("kmer").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").drop("least")
 
     # 1: segments that occur twice
-    twice = found.join(classes.filter("n > 1").select("kmer", "seg"), ["kmer", "seg"])
+    most = max(64, (classes.agg(F.sum("n")).first()[0] or 0) // SHARES)
+    hot = df.sparkSession.createDataFrame(classes.filter(F.col("n") > most).select("kmer", "seg").collect(), "kmer long, seg long")  # fewer than SHARES
+    some = classes.filter((F.col("n") > 1) & (F.col("n") <= most)).select("kmer", "seg")
+    twice = found.join(F.broadcast(hot), ["kmer", "seg"], "left_anti").join(some, ["kmer", "seg"]).unionByName(found.join(F.broadcast(hot), ["kmer", "seg"]))
     first = F.shiftright("pos", 18)
     out = twice.select("d", "th", first.alias("start"), (first + F.col("pos").bitwiseAND(LOW) + LENGTH).alias("end"))
 
@@ -262,7 +276,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = compared.groupBy("d", "th").agg(F.collect_list(F.struct("pos", "n", "m", "kmer")).alias("of"))  # at most one for each anchor of a text
     held = squeezed(rows, kind).drop("id").join(compared.hint("shuffle_hash"), ["d", "th"])
     parts = block_count(df, 16 << 20, 8)
-    schema = "target long, payload binary, d long, th int, pos long, start long, h1 long, h2 long"
+    schema = "target long, payload binary, d long, th long, pos long, start long, h1 long, h2 long"
     routes = arrow_schema(schema)
 
     def cut(batches):
@@ -287,7 +301,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     else:
                         h = window_hashes(text[p:e])
                         m = len(h[0])
-                        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([d] * m), pa.array([th] * m, pa.int32()), pa.array([x["pos"]] * m), pa.array(np.arange(p, p + m)), *map(pa.array, h)], schema=routes)
+                        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([d] * m), pa.array([th] * m), pa.array([x["pos"]] * m), pa.array(np.arange(p, p + m)), *map(pa.array, h)], schema=routes)
                 if size >= RUN:
                     yield from runs()
                     size = 0
@@ -313,7 +327,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     seen.add(key)
                     group.append((shared, suffix, left, own))
             put += repeats(group)
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o, _, _ in put], pa.int64()), pa.array([o[1] for o, _, _ in put], pa.int32()), pa.array([s for _, s, _ in put], pa.int64()), pa.array([e for _, _, e in put], pa.int64())], schema=spans)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o, _, _ in put], pa.int64()), pa.array([o[1] for o, _, _ in put], pa.int64()), pa.array([s for _, s, _ in put], pa.int64()), pa.array([e for _, _, e in put], pa.int64())], schema=spans)
 
     runs = routed.filter("target is not null").select("target", "payload").repartition(parts, "target")
     out = out.union(runs.mapInArrow(compare, SPAN))
@@ -338,15 +352,17 @@ def window_hashes(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-#: What remove_repeats() can return of each text.
-OUTPUTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary", "spans": "array<struct<start:long,end:long>>"}
+#: What remove_repeats() can return of each text; `text` is `kept` as a string, where a cut character's bytes are U+FFFD.
+OUTPUTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "n_kept": "long", "kept": "binary", "text": "string", "spans": "array<struct<start:long,end:long>>"}
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs=("n_bytes", "n_removed", "n_spans", "kept", "spans")) -> DataFrame:
     """The id and the chosen OUTPUTS of every row."""
     kind = df.schema[id_col].dataType.simpleString()
     spans = repeated_spans(df, id_col, text_col)
-    by = spans.groupBy("d", "th").agg(F.collect_set(F.struct("start", "end")).alias("of"))  # bounded by the text's anchors and windows
+    # every span is LENGTH bytes long or longer, so that spans that start in the same LENGTH bytes overlap
+    spans = spans.groupBy("d", "th", F.floor(F.col("start") / LENGTH).alias("at")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    by = spans.groupBy("d", "th").agg(F.collect_list(F.struct("start", "end")).alias("of"))  # one for each LENGTH bytes of a text at most
     rows = squeezed(keyed(df, id_col, text_col), kind).join(by.hint("shuffle_hash"), ["d", "th"], "left")
     schema = f"{id_col} {kind}, " + ", ".join(f"{c} {OUTPUTS[c]}" for c in outputs)
     kinds = arrow_schema(schema)
@@ -365,9 +381,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             gone.append([s, e])
                     edges = [0, *(x for g in gone for x in g), len(text)]
                     kept = b"".join(text[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
-                    got = {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "kept": kept, "spans": gone}
+                    got = {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(gone), "n_kept": len(kept), "kept": kept, "spans": gone}
                     for c in outputs:
-                        out[c].append(hashlib.sha256(kept).hexdigest() if c == "kept_sha256" else [{"start": s, "end": e} for s, e in gone] if c == "spans" else got[c])
+                        out[c].append(hashlib.sha256(kept).hexdigest() if c == "kept_sha256" else kept.decode("utf-8", "replace") if c == "text" else [{"start": s, "end": e} for s, e in gone] if c == "spans" else got[c])
                 yield pa.RecordBatch.from_pydict({id_col: part.column("id")} | out, schema=kinds)
 
     return rows.select("id", "z", "of").mapInArrow(run, schema)

@@ -87,20 +87,29 @@ def test_warc(spark):
     assert all(r.payload_digest == hashlib.sha256((t or "").encode()).hexdigest() and r.payload_bytes == len(t or "") for i, _, t in rows for r in [got[i]])
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(spark, docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    got = Counter((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect())
-    texts = [(t or "").encode() for _, t, _ in ROWS]
+@pytest.mark.parametrize("limits", [{}, {"HOT": 1, "SHARES": 1 << 40}, {"PLACE": 10}])
+def test_suffix_dedup(spark, docs, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
+    extra = [(20 + i, LONG % i + BLOCK[i : i + 401] + "é" * i, "en") for i in range(8)] + [(40 + i, BLOCK, "en") for i in range(70 if "HOT" in limits else 3)]
+    table = docs.unionByName(spark.createDataFrame([(*r, "s", 0, 0.5, "c") for r in extra], docs.schema))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table).collect())
+    texts = [(t or "").encode() for _, t, _ in ROWS + extra]
     n = suffix_dedup.LENGTH
     seen = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
     want: Counter = Counter()
-    for (i, _, _), b in zip(ROWS, texts):
+    for (i, _, _), b in zip(ROWS + extra, texts):
         gone = {j for s in range(len(b) - n + 1) if seen[b[s : s + n]] > 1 for j in range(s, s + n)}
-        want[(i, len(gone), bytes(x for j, x in enumerate(b) if j not in gone))] += 1
+        want[(i, len(b), len(gone), sum(j - 1 not in gone for j in gone), bytes(x for j, x in enumerate(b) if j not in gone))] += 1
     assert got == want
 
 
+def test_suffix_dedup_ids(spark):
+    rows = [("a", BLOCK), ("b", BLOCK), (None, BLOCK), ("c", "short")]
+    got = {r.name: (r.n_removed, r.text) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "name string, text string"), "name", outputs=("n_removed", "text")).collect()}
+    assert got == {"a": (len(BLOCK), ""), "b": (len(BLOCK), ""), None: (len(BLOCK), ""), "c": (0, "short")}
+
+
 def test_simhash(spark, docs):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert got[1].component_id == got[6].component_id == 1 and got[3].fp == got[4].fp == 0 and got[4].component_id == 3 and got[None].component_id == 10
