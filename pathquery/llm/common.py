@@ -68,6 +68,40 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         yield batch.slice(start)
 
 
+_spread = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, n or more of each."""
+    if not _powers or len(_powers[0]) < n:
+        base, size = 0x9E3779B97F4A7C15, max(n, 1 << 21)
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, pow(base, -1, 2**64))]
+    return _powers
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run values[begin:end], by sums of powers."""
+    power, inverse = powers(len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)])])
+    return mixed((total[end] - total[begin]) * inverse[begin])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (between spaces) of all texts, the upper bits the better ones, and each text's number of words."""
+    a = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    space = a == 32
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1  # a starts and ends with a space
+    begin, end = change[::2], change[1::2]
+    edges = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return run_hashes(_spread[a], begin, end), np.diff(np.searchsorted(begin, edges))
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_slices, slices
+from .common import arrow_schema, map_slices, slices, word_hashes
 
 FEATURES, HALF, RANK, SIGNS = 1 << 13, 12, 64, 4
 SURE, LIKELY, ANSWER, SHORT = 0.7, 0.5, 0.8, 8
@@ -53,30 +53,10 @@ def words(text: str | None) -> list[bytes]:
     return cleaned(text).split()
 
 
-_spread = np.random.Generator(np.random.PCG64(3)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse, n or more of each."""
-    if not _powers or len(_powers[0]) < n:
-        base, size = 0x9E3779B97F4A7C15, max(n, 1 << 21)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, pow(base, -1, 2**64))]
-    return _powers
-
-
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all words of cleaned texts, and each text's number of words."""
-    a = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    space = a == 32
-    change = np.flatnonzero(space[1:] != space[:-1]) + 1  # a starts and ends with a space
-    begin, end = change[::2], change[1::2]
-    power, inverse = powers(len(a))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_spread[a] * power[: len(a)])])
-    h = (total[end] - total[begin]) * inverse[begin]
-    h ^= h >> np.uint64(31)
-    edges = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.int64), np.diff(np.searchsorted(begin, edges))
+    h, counts = word_hashes(texts)
+    return (h >> np.uint64(32)).astype(np.int64), counts
 
 
 def halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

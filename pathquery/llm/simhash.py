@@ -10,6 +10,14 @@ Cells with more than DENSE fingerprints take another exact way, without pairs: f
 2 bits exactly if some point is within one bit of both, so that every fingerprint of a dense cell goes to its 65 such
 points and each point links what it has to its least member.
 
+With `similarity`, texts link instead whose sets of shingles have that Jaccard similarity or more.  Fingerprints of such
+texts differ by 10 bits and more of 64, where no cell of popcounts tells them from others, so that candidates come from
+BANDS hashes of ROWS minima of the shingles' hashes each (a pair at 0.8 has one in common but for 3 in a million), and
+the shingles themselves are compared.  Equal texts are collapsed first.  In a cell every member is compared with a hub and
+with the BEFORE members before it, in an order that is another one in each cell; cells with over 1 / SHARES of all entries are
+salted, and their hubs are compared likewise.  Pairs of a few bands are compared first; of the others, those that these
+left unconnected.  That compares no group in pairs; what it loses is measured (README).
+
 Defined results: null text is the empty text; texts without words have fingerprint zero and are linked like any other;
 ids that are null have a fingerprint and a component but never name one, unless no id of the component is set (null).
 """
@@ -21,14 +29,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import arrow_schema, map_slices, mixed, run_hashes, word_hashes, written
 from .components import components
 
 SEED = 42
 DENSE = 64
+#: Minima to a band, bands, bands whose pairs are compared first, and members of a cell before one that it is compared with.
+ROWS, BANDS, FIRST, BEFORE = 4, 24, 3, 3
+#: A cell with more than this part of all entries is hot, and so are at most as many cells.
+SHARES = 4096
+_words = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz     ")
+_flips = np.random.Generator(np.random.PCG64(13)).integers(0, 2**64, (BANDS, ROWS, 2), np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -104,11 +119,124 @@ def links(fps: DataFrame, bits: int = 2, groups: int = 5) -> DataFrame:
     return pairs.union(star)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, groups: int = 5, keep: tuple = ()) -> DataFrame:
-    """id, fp, component_id (the least id reachable) of every row; with `keep` also these columns and root (the component's least fp)."""
-    fps = written(fingerprints(df, id_col, text_col, words, keep), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(links(nodes.select("fp"), bits, groups))
+def shingled(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, how many each text has (of a text with fewer words, one of all), and a hash of each text's words."""
+    h, counts = word_hashes([(t or "").encode("utf-8", "replace").translate(_words) for t in texts])
+    first = np.cumsum(counts) - counts
+    n = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    begin = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(np.repeat(counts, n), words)
+    whole = run_hashes(h, first, first + counts) ^ mixed(counts.astype(np.uint64))
+    return mixed(run_hashes(h, begin, begin + size) ^ size.astype(np.uint64)), n, whole
+
+
+def banded(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """BANDS hashes of minima for each text with shingles."""
+    starts = (np.cumsum(n) - n)[n > 0]
+    out = np.zeros((len(starts), BANDS), np.uint64)
+    for b in range(BANDS if len(starts) else 0):
+        for flip, times in _flips[b]:
+            out[:, b] = mixed(out[:, b] ^ np.minimum.reduceat((shingles ^ flip) * times, starts)) ^ (out[:, b] >> np.uint64(32))
+        out[:, b] = mixed(out[:, b] ^ np.uint64(b))
+    return out.view(np.int64)
+
+
+def prints(df: DataFrame, id_col: str, text_col: str, words: int, keep: tuple) -> DataFrame:
+    """id, the columns `keep`, fp (a hash of the text's words) and bands of every text (empty without words)."""
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
+
+    def make():
+        def run(part: pa.RecordBatch) -> dict:
+            shingles, n, whole = shingled(part.column(1).to_pylist(), words)
+            ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)])
+            return {id_col: part.column(0), **{c: part.column(c) for c in keep}, "fp": whole.view(np.int64), "bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(banded(shingles, n).ravel()))}
+
+        return run
+
+    return map_slices(df, [id_col, text_col, *keep], text_col, f"{kinds}fp long, bands array<long>", make)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b, band) of pairs of (fp, bands) rows to compare, with the first band that they share."""
+    cells = nodes.select("fp", F.posexplode("bands").alias("band", "cell"))
+    most = max(64, nodes.count() * BANDS // SHARES)
+    full = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    hot = nodes.sparkSession.createDataFrame(full.select("cell", F.ceil(F.col("n") / most).alias("parts")).collect(), "cell long, parts long")  # fewer than SHARES
+    turn = F.xxhash64("fp", "cell")
+    placed = cells.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(turn, "parts")))
+    least = F.min(F.struct(turn.alias("turn"), "fp"))
+
+    def compared(some: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("turn", "fp")
+        others = {"hub": F.first("fp"), **{f"before_{i}": F.lag("fp", i) for i in range(1, BEFORE + 1)}}
+        met = some.withColumn("turn", turn).select("fp", "band", *(x.over(order).alias(c) for c, x in others.items()))
+        return met.select("fp", "band", F.explode(F.array(*others)).alias("other"))
+
+    hubs = placed.filter("parts is not null").groupBy("cell", "salt", "band").agg(least.alias("least")).select("cell", "band", F.col("least.fp").alias("fp"))
+    pairs = compared(placed, "cell", "salt").union(compared(hubs, "cell")).filter("fp != other")
+    return pairs.groupBy(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).agg(F.min("band").alias("band"))
+
+
+def shingle_sets(df: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """(fp, shingles) of the texts whose fp is in wanted.fp, one of each."""
+
+    def squeeze():
+        c = zstandard.ZstdCompressor(level=1)
+
+        def run(part: pa.RecordBatch) -> dict:
+            texts = part.column(0).to_pylist()
+            return {"fp": shingled(texts, words)[2].view(np.int64), "z": [c.compress((t or "").encode()) for t in texts]}
+
+        return run
+
+    kinds = arrow_schema("fp long, shingles array<long>")
+
+    def split(batches):
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                shingles, n, _ = shingled([d.decompress(z).decode() for z in part.column(1).to_pylist()], words)
+                sets = [np.unique(x).view(np.int64) for x in np.split(shingles, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
+
+    # equal texts are combined before they are exchanged
+    texts = map_slices(df, [text_col], text_col, "fp long, z binary", squeeze).groupBy("fp").agg(F.first("z").alias("z"))
+    return texts.join(wanted, "fp", "left_semi").select("fp", "z").mapInArrow(split, "fp long, shingles array<long>")
+
+
+def similar_roots(df: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(node, root) of the texts in nodes.fp that a similarity of their shingles links."""
+    pairs = written(candidates(nodes), "candidates")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(df, text_col, words, wanted), "sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+        return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b")
+
+    roots = written(components(verified(pairs.filter(F.col("band") < FIRST))), "roots")
+    rest = pairs.filter(F.col("band") >= FIRST)
+    for c in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    return components(verified(rest).union(roots.select("node", "root")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, groups: int = 5, keep: tuple = (), similarity: float | None = None) -> DataFrame:
+    """id, fp, component_id (the least id reachable) of every row; with `keep` also these columns and root (the component's least fp).
+
+    similarity: link by the similarity of shingle sets instead of fingerprints; fp is then a hash of the text's words.
+    """
+    if similarity is None:
+        fps = written(fingerprints(df, id_col, text_col, words, keep), "fingerprints")
+        nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+        roots = components(links(nodes.select("fp"), bits, groups))
+    else:
+        fps = written(prints(df, id_col, text_col, words, keep), "prints")
+        nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("bands").alias("bands")), "nodes")
+        roots = similar_roots(df, nodes, text_col, words, similarity)
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id", "root")
