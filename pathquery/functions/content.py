@@ -40,13 +40,16 @@ def text_contains(content: Column, needle: str) -> Column:
 
 def binary_contains(content: Column, needle: str, encoding: str | None = None) -> Column:
     """A binary column contains the needle in its own encoding (sniffed if not given); A-Z fold."""
-    low = needle.lower()
+    from .text import LOWER, UPPER
+
+    fold = str.maketrans(UPPER, LOWER)
+    low = needle.translate(fold)
 
     @F.pandas_udf("boolean")
     def run(datas: pd.Series) -> pd.Series:
         def one(d):
             kind = d is not None and (encoding or encoding_of(d))
-            return bool(kind) and low in d.decode(kind, "replace").lower()
+            return bool(kind) and low in d.decode(kind, "replace").translate(fold)
 
         return datas.map(one)
 

@@ -100,3 +100,32 @@ def highlights(name: Column, needles: list[str], fold: bool = True) -> Column:
 
     merged = F.aggregate(F.array_sort(F.concat(*found)), empty, add)
     return F.transform(merged, lambda r: F.array(r["s"], r["e"]))
+
+
+def all_highlights(name: Column, needles: list[str], regexes: list[str], romanised: list[str]) -> Column:
+    """Sorted, merged [start, end) ranges of needles, of what regular expressions match, and of names by romanised spelling; for a page of hits."""
+    import re
+
+    import pandas as pd
+
+    from .pinyin import matches, readings
+
+    table = readings() if romanised else {}
+    kinds = [re.compile(re.escape(n), re.IGNORECASE | re.ASCII) for n in needles if n] + [re.compile(r) for r in regexes]
+
+    @F.pandas_udf("array<array<int>>")
+    def run(names: pd.Series) -> pd.Series:
+        def one(n):
+            spans = [m.span() for k in kinds for m in k.finditer(n or "") if m.end() > m.start()]
+            spans += [x for r in romanised if (x := matches(n or "", r, table))]
+            out: list[list[int]] = []
+            for s, e in sorted(spans):
+                if out and s <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], e)
+                else:
+                    out.append([s, e])
+            return out
+
+        return names.map(one)
+
+    return run(name)

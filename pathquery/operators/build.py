@@ -7,6 +7,7 @@ any size takes as many joins as the logarithm of its depth.  Everything is keyed
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -119,19 +120,68 @@ def merge_volumes(*catalogues: DataFrame) -> DataFrame:
     return keep_last(reduce(DataFrame.unionByName, tagged), "_at").drop("_at")
 
 
+def publish(spark: SparkSession, path: str, record: dict) -> int:
+    """A new version of what lies under `path`: a file that appears whole, by a rename, under the next number."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f".draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    number = max(versions(spark, path), default=0) + 1
+    while not (name := jvm.org.apache.hadoop.fs.Path(folder, f"v{number:012d}")) or fs.exists(name) or not fs.rename(draft, name):
+        number += 1  # another writer was first
+    return number
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d{12}", n))
+
+
+def version(spark: SparkSession, path: str, number: int | None = None) -> dict:
+    """The record of a version, the last one if not given."""
+    number = number or max(versions(spark, path), default=0)
+    if not number:
+        raise CatalogError(f"nothing has been saved under {path}")
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/v{number:012d}")
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    data = fs.open(file)
+    try:
+        return json.loads(bytes(data.readAllBytes()).decode())
+    finally:
+        data.close()
+
+
+def retire(spark: SparkSession, path: str, keep: int = 3) -> None:
+    """Deletes versions but the last `keep`, and the folders that only these name."""
+    numbers = versions(spark, path)
+    held = {x for n in numbers[-keep:] for x in version(spark, path, n)["folders"]}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in numbers[:-keep]:
+        for x in set(version(spark, path, n)["folders"]) - held:
+            fs.delete(hadoop(f"{path}/{x}"), True)
+        fs.delete(hadoop(f"{path}/versions/v{n:012d}"), False)
+
+
 def save(entries: DataFrame, path: str, excluded: list[str] = (), compression: str = "zstd") -> str:
-    """A new snapshot under `path`, clustered for pruning, then the pointer to it; readers never see half of one."""
+    """A new snapshot under `path`, clustered for pruning, then a version that names it; readers see whole versions only."""
     spark, name = entries.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     entries.sortWithinPartitions("volume", "ext_lc").write.option("compression", compression).partitionBy("volume").parquet(f"{path}/{name}")
-    pointer = spark.createDataFrame([(name, json.dumps({"excluded_dirs": sorted(p for p in map(T.normalise_directory, excluded) if p)}))], "name string, excluded string")
-    pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    publish(spark, path, {"folders": [name], "excluded_dirs": sorted(p for p in map(T.normalise_directory, excluded) if p)})
     return name
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """The current snapshot and its excluded directories."""
-    row = spark.read.parquet(f"{path}/current").first()
-    return spark.read.option("basePath", f"{path}/{row.name}").parquet(f"{path}/{row.name}"), json.loads(row.excluded)["excluded_dirs"]
+    now = version(spark, path)
+    at = f"{path}/{now['folders'][0]}"
+    return spark.read.option("basePath", at).parquet(at), now["excluded_dirs"]
 
 
 def status(entries: DataFrame) -> DataFrame:

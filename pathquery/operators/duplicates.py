@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .build import stored
+
 EDGE = 64 << 10
 
 
@@ -17,8 +19,8 @@ def duplicate_groups(entries: DataFrame, contents: DataFrame, min_size: int = 1
     repeat = lambda df, *k: df.join(df.groupBy(*k).count().filter("count > 1").drop("count"), list(k), "left_semi")
     sized = repeat(files, "size").join(contents, ["volume", "file_id"])
     data = F.col("content").cast("binary")
-    quick = sized.withColumn("quick", F.xxhash64(F.substring(data, 1, EDGE), F.substring(data, -EDGE, EDGE)))
-    full = repeat(quick, "size", "quick").select("entry_id", "size", F.sha2(data, 256).alias("group_id"))
+    quick = stored(sized.select("entry_id", "volume", "file_id", "size", F.xxhash64(F.substring(data, 1, EDGE), F.substring(data, -EDGE, EDGE)).alias("quick")), "quick")
+    full = stored(repeat(quick, "size", "quick").join(contents, ["volume", "file_id"]).select("entry_id", "size", F.sha2(data, 256).alias("group_id")), "full")
     sums = full.groupBy("size", "group_id").agg(F.count(F.lit(1)).alias("file_count")).filter("file_count > 1")
     sums = sums.withColumns({"total_bytes": F.col("size") * F.col("file_count"), "reclaimable": F.col("size") * (F.col("file_count") - 1)})
     top = sums.orderBy(F.desc("reclaimable"), F.desc("file_count"), "group_id").limit(max_groups)

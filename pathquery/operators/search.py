@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from functools import reduce
 from operator import or_
@@ -9,10 +10,10 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.content import text_contains
-from ..functions.text import highlights, unix_to_filetime
+from ..functions.content import binary_contains, text_contains
+from ..functions.text import all_highlights, highlights, unix_to_filetime
 from ..plans.compile import predicate
-from ..plans.syntax import Branch, Query, parse
+from ..plans.syntax import Branch, Query, low, parse
 
 
 def alone(b: Branch) -> bool:
@@ -21,7 +22,7 @@ def alone(b: Branch) -> bool:
 
 
 def hits(entries: DataFrame, query: Query | str, contents: DataFrame | None = None, pinyin: bool = False, metadata_ready: bool = True, now: datetime | None = None) -> DataFrame:
-    """All entries that match, in no order.  contents: (volume, file_id, content) for content:."""
+    """All entries that match, in no order.  contents: (volume, file_id, content) for content:, text or binary of any encoding."""
     q = parse(query, now) if isinstance(query, str) else query
     plain = [predicate(b, pinyin, metadata_ready) for b in q.branches if alone(b)]
     parts = [entries.filter(reduce(or_, plain))] if plain else []
@@ -31,7 +32,8 @@ def hits(entries: DataFrame, query: Query | str, contents: DataFrame | None = No
             if b.content is not None:
                 if contents is None:
                     raise ValueError("content: needs a table of contents")
-                found = found.filter("not is_dir").join(contents.filter(text_contains(F.col("content"), b.content)).select("volume", "file_id"), ["volume", "file_id"], "left_semi")
+                holds = binary_contains if contents.schema["content"].dataType.simpleString() == "binary" else text_contains
+                found = found.filter("not is_dir").join(contents.filter(holds(F.col("content"), b.content)).select("volume", "file_id"), ["volume", "file_id"], "left_semi")
             if b.size_dupe:  # files only; the sizes that repeat among the hits
                 found = found.filter("not is_dir")
                 found = found.join(found.groupBy("size").count().filter("count > 1").select("size"), "size", "left_semi").select(entries.columns)
@@ -52,8 +54,10 @@ def search(entries: DataFrame, query: Query | str, limit: int = 1000, offset: in
     n = limit if q.limit is None else q.limit
     page = found.orderBy(*ordered(found, q, options.get("metadata_ready", True)))
     page = page.offset(offset).limit(n) if offset else page.limit(n)
-    needles = [t.text for b in q.branches for t in b.terms]
-    return page.select("entry_id", "name", F.col("display_path").alias("path"), "size", "mtime", unix_to_filetime(F.col("mtime")).alias("mtime_ft"), F.col("is_dir").alias("is_directory"), highlights(F.col("name"), needles).alias("name_highlight"))
+    needles, regexes = [t.text for b in q.branches for t in b.terms], [r for b in q.branches for r in b.regexes]
+    latin = [low(t.text) for b in q.branches for t in b.terms if re.fullmatch("[a-z]+", low(t.text)) and t.mode != "en" and (options.get("pinyin") or t.mode == "py")]
+    marks = all_highlights(F.col("name"), needles, regexes, latin) if regexes or latin else highlights(F.col("name"), needles)
+    return page.select("entry_id", "name", F.col("display_path").alias("path"), "size", "mtime", unix_to_filetime(F.col("mtime")).alias("mtime_ft"), F.col("is_dir").alias("is_directory"), marks.alias("name_highlight"))
 
 
 def total(entries: DataFrame, query: Query | str, **options) -> int:
@@ -69,6 +73,15 @@ def round_robin(found: DataFrame, limit: int) -> DataFrame:
     return top.orderBy("rn", "volume").limit(limit)
 
 
+#: Sort numbers of the client protocol; those of columns that the catalogue lacks sort by name, ascending if odd.
+SORTS = {1: "name", 2: "name:d", 3: "path", 4: "path:d", 5: "size", 6: "size:d", 11: "created", 12: "created:d", 13: "modified", 14: "modified:d", 21: "modified", 22: "modified:d"}
+
+
+def sort_of(number: int) -> str:
+    """The value of sort: that a client's number stands for."""
+    return SORTS.get(number, "name:d" if number <= 26 and number % 2 == 0 else "name")
+
+
 #: Request flags of the client protocol and their columns.
 FLAGS = {1: "name", 2: "path", 4: "full_path", 8: "extension", 16: "size", 32: "ctime", 64: "mtime", 128: "atime", 256: "attributes", 1024: "run_count"}
 

@@ -46,7 +46,7 @@ def test_literals():
     assert encoding_of("añb".encode("utf-16-le")) == "utf-16-le" and encoding_of(b"\x00\x01" * 50) != "utf-8"
 
 
-def test_pinyin():
+def test_pinyin(spark):
     assert matches("北京朝阳.txt", "beijing") == (0, 2) and matches("北京朝阳.txt", "bj") == (0, 2) and matches("北京朝阳.txt", "zhaoyang") == (2, 4)
     assert matches("zi串_中文.txt", "zichuan") == (0, 3) and matches("English.txt", "beijing") is None
 
