@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,10 +107,6 @@ def highlights(name: Column, needles: list[str], fold: bool = True) -> Column:
 
 def all_highlights(name: Column, needles: list[str], regexes: list[str], romanised: list[str]) -> Column:
     """Sorted, merged [start, end) ranges of needles, of what regular expressions match, and of names by romanised spelling; for a page of hits."""
-    import re
-
-    import pandas as pd
-
     from .pinyin import matches, readings
 
     table = readings() if romanised else {}

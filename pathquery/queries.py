@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from datetime import datetime, timezone
+
+from .api import Engine
 from .operators import backfill as B
 from .operators import build, changes as C, duplicates as D, search as S
+from .plans.literals import GROUPS
 from .sources import adapters as A
+from .streaming.apply import SCHEMA, STATE, VOLUMES, Catalogue
 
 #: The tree catalogue in SQL; chr(92) is a backslash.
 TREE = """
@@ -57,12 +62,6 @@ SEARCHES: dict[str, tuple] = {
     "q_only_files": ("file: 99", "NOT is_dir AND contains(name_lc, '99')"),
     "q_only_dirs": ("folder:", "is_dir"),
     "q_ext_list": ("ext:pdf;md", "ext_lc IN ('pdf', 'md')"),
-    "q_macro_image": ("pic:", "ext_lc = 'jpg'"),
-    "q_macro_audio": ("audio:", "ext_lc = 'mp3'"),
-    "q_macro_doc": ("doc:", "ext_lc IN ('pdf', 'txt', 'md')"),
-    "q_macro_video": ("video:", "ext_lc IN ('mp4', 'mkv')"),
-    "q_macro_zip": ("zip:", "ext_lc IN ('zip', 'rar')"),
-    "q_macro_exe": ("exe:", "ext_lc IN ('exe', 'msi')"),
     "q_size_gt": ("size:>200kb", "size >= 204800"),
     "q_size_lt": ("file: size:<=20kb", "NOT is_dir AND size <= 20480"),
     "q_size_range": ("size:100kb..150kb", "size BETWEEN 102400 AND 153600"),
@@ -91,7 +90,6 @@ SEARCHES: dict[str, tuple] = {
     "q_glob_question": ("Order_9?.*", "regexp_matches(name, '^Order_9.[.].*$')"),
     "q_depth": ("depth:2..3", "depth BETWEEN 2 AND 3"),
     "q_child_exact": ("child:5", "is_dir AND child_count = 5"),
-    "q_empty_dir": ("empty:1", "is_dir AND child_count = 0"),
     "q_nonempty_dir": ("empty:0", "is_dir AND child_count > 0"),
     "q_sizedupe": ("sizedupe:", "NOT is_dir AND size IN (SELECT size FROM e WHERE NOT is_dir GROUP BY size HAVING count(*) > 1)"),
     "q_sizedupe_or": ("ext:mp3 sizedupe: | wfn: order_13", "(ext_lc = 'mp3' AND size IN (SELECT size FROM e WHERE ext_lc = 'mp3' GROUP BY size HAVING count(*) > 1)) OR name_lc = 'order_13'"),
@@ -102,8 +100,32 @@ SEARCHES: dict[str, tuple] = {
     "q_sort_ctime": ("ext:jpg sort:created count:30", "ext_lc = 'jpg'", "ctime, entry_id", 30),
     "q_offset_page": ("order sort:size count:25", "contains(name_lc, 'order')", "size, entry_id", 25, 50),
 }
+
+#: Line items as files of all groups and sizes, in SQL.
+TYPED = f"""
+WITH f AS (
+    SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS k, l_extendedprice FROM lineitem
+), e AS (
+    SELECT k + 1000 AS entry_id, k % 20 + 100 AS parent_id, [{', '.join(f"'{x}'" for x in A.TYPED)}][k % {len(A.TYPED)} + 1] AS ext, false AS is_dir,
+        CASE WHEN k % 11 = 0 THEN 0 ELSE CAST(floor(l_extendedprice) AS BIGINT) * [1, 16, 256, 4096, 65536][k % 5 + 1] END AS size FROM f
+    UNION ALL SELECT CAST(n_nationkey + 100 AS BIGINT), 0, NULL, true, 0 FROM nation
+)
+"""
+#: The same, over files of all groups and sizes.
+TYPED_SEARCHES = {f"q_macro_{name}": (f"{macro}:", f"ext IN ({', '.join(repr(x) for x in GROUPS[macro].split())})") for name, macro in {"image": "pic", "audio": "audio", "doc": "doc", "video": "video", "zip": "zip", "exe": "exe"}.items()}
 for _kind, _bounds in {"empty": "size = 0", "tiny": "size <= 16384", "small": "size BETWEEN 16384 AND 1048576", "medium": "size BETWEEN 1048576 AND 33554432", "large": "size BETWEEN 33554432 AND 134217728", "huge": "size BETWEEN 134217728 AND 1073741824", "gigantic": "size >= 1073741824"}.items():
-    SEARCHES[f"q_size_bucket_{_kind}"] = (f"size:{_kind}", _bounds)
+    TYPED_SEARCHES[f"q_size_bucket_{_kind}"] = (f"size:{_kind}", _bounds)
+TYPED_SEARCHES["q_empty_dir"] = ("empty:1", "is_dir AND entry_id NOT IN (SELECT parent_id FROM e)")
+TYPED_SEARCHES["q_macro_and_size"] = ("video: size:>1mb !7", "ext IN ({}) AND size >= 1048576 AND NOT contains(CAST(entry_id - 1000 AS VARCHAR) || '.' || ext, '7')".format(", ".join(repr(x) for x in GROUPS["video"].split())))
+#: Days that depend on the clock: (query text, the clock, predicate in SQL).
+CLOCK = datetime(1996, 4, 10, 15, 30, tzinfo=timezone.utc)
+DATED = {
+    "q_dm_today": ("dm:today", f"mtime >= {sec('1996-04-10')}"),
+    "q_dm_yesterday": ("dm:yesterday", f"mtime BETWEEN {sec('1996-04-09')} AND {sec('1996-04-10')} - 1"),
+    "q_dm_lastweek": ("dm:lastweek", f"mtime BETWEEN {sec('1996-04-01')} AND {sec('1996-04-08')} - 1"),
+    "q_dm_lastmonth": ("dm:lastmonth", f"mtime BETWEEN {sec('1996-03-01')} AND {sec('1996-04-01')} - 1"),
+    "q_dm_lastyear": ("dm:lastyear", f"mtime BETWEEN {sec('1995-01-01')} AND {sec('1996-01-01')} - 1"),
+}
 
 
 def searching(text: str, *page):
@@ -120,6 +142,12 @@ QUERIES = {k: searching(v[0], *v[2:]) for k, v in SEARCHES.items()}
 ORACLES = {k: f"{TREE} SELECT {', '.join(COLUMNS)} FROM e WHERE {v[1]}" + (f" ORDER BY {v[2]} LIMIT {v[3]}" + (f" OFFSET {v[4]}" if len(v) > 4 else "") if len(v) > 2 else "") for k, v in SEARCHES.items()}
 
 
+QUERIES |= {k: lambda spark, sf_dir, text=v[0]: S.hits(A.typed(spark, sf_dir), text).select("entry_id", "size") for k, v in TYPED_SEARCHES.items()}
+ORACLES |= {k: f"{TYPED} SELECT entry_id, CAST(size AS BIGINT) AS size FROM e WHERE {v[1]}" for k, v in TYPED_SEARCHES.items()}
+QUERIES |= {k: lambda spark, sf_dir, text=v[0]: S.hits(A.tree(spark, sf_dir), text, now=CLOCK).select("entry_id", "mtime") for k, v in DATED.items()}
+ORACLES |= {k: f"{TREE} SELECT entry_id, mtime FROM e WHERE {v[1]}" for k, v in DATED.items()}
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -290,9 +318,27 @@ def q_cascade_delete(spark, sf_dir):
     return C.cascade(e.withColumn("deleted", F.col("full_path_lc") == "c:\\asia")).filter("deleted").select("entry_id")
 
 
-@query()
+@query(TREE + """SELECT entry_id, name, '[[0,5],[' || CAST(strpos(name_lc, '11') - 1 AS VARCHAR) || ',' || CAST(strpos(name_lc, '11') + 1 AS VARCHAR) || ']]' AS marks
+    FROM e WHERE contains(name_lc, 'order') AND length(name) - length(replace(name, '11', '')) = 2 AND NOT contains(name, '111')""")
 def q_highlight(spark, sf_dir):
-    return S.search(A.tree(spark, sf_dir), "order 11 count:50").select("entry_id", "name", "name_highlight")
+    """Names with the needle 11 once, so that SQL can tell the place."""
+    found = S.search(A.tree(spark, sf_dir), "order 11", limit=1 << 30).filter("length(name) - length(replace(name, '11', '')) = 2 and not contains(name, '111')")
+    return found.select("entry_id", "name", F.to_json("name_highlight").alias("marks"))
+
+
+@query(TREE + "SELECT entry_id, '[[0,9]]' AS marks FROM e WHERE regexp_matches(name, '^Order_[0-9]{2}[.]')")
+def q_highlight_regex(spark, sf_dir):
+    return S.search(A.tree(spark, sf_dir), "regex:^Order_[0-9]{2}\\.", limit=1 << 30).select("entry_id", F.to_json("name_highlight").alias("marks"))
+
+
+@query("SELECT doc_id AS entry_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'token =')")
+def q_content_binary(spark, sf_dir):
+    """Contents as bytes with a byte order mark, by turns in UTF-16 and UTF-8."""
+    entries, contents = A.docs(spark, sf_dir)
+    wide = F.concat(F.lit(b"\xff\xfe"), F.encode("content", "UTF-16LE"))
+    narrow = F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("content", "UTF-8"))
+    raw = contents.select("volume", "file_id", F.when(F.col("file_id") % 2 == 0, wide).otherwise(narrow).alias("content"))
+    return S.hits(entries, 'content:"Token ="', raw).select("entry_id")
 
 
 def chinese(spark) -> DataFrame:
@@ -311,3 +357,49 @@ def q_pinyin_full(spark, sf_dir):
 @query("SELECT CAST(i + 10000 AS BIGINT) AS file_id FROM range(10000) r(i) WHERE i % 500 = 0 AND i % 1000 <> 0")
 def q_pinyin_initials(spark, sf_dir):
     return S.hits(chinese(spark), "sh;py").select("file_id")
+
+
+@query("""
+    SELECT CAST(n_nationkey AS BIGINT) AS file_id, n_nationkey % 5 = 2 AS marked FROM nation WHERE n_nationkey % 5 IN (0, 2, 3)
+""")
+def q_pinyin_names(spark, sf_dir):
+    """Names of further characters, by full and mixed spelling; marks of the first two characters."""
+    n = A.table(spark, sf_dir, "nation")
+    name = F.element_at(F.array(*map(F.lit, ("重庆", "长沙", "杭州", "绿色", "深圳"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    zero = F.lit(0).cast("long")
+    raw = n.select(F.lit("C").alias("volume"), F.col("n_nationkey").cast("long").alias("file_id"), zero.alias("parent_id"), F.concat(name, F.lit("_"), "n_name").alias("name"), zero.alias("size"), zero.alias("mtime_ft"), zero.alias("ctime_ft"), F.lit(0).alias("attrs"), F.lit(False).alias("is_dir"), F.lit("").alias("parent_path_lc"), F.lit(0).alias("children"))
+    e = build.columns(raw).withColumn("entry_id", F.col("file_id"))
+    return S.search(e, "hangz;py", limit=1000).select(F.col("entry_id").alias("file_id"), (F.to_json("name_highlight") == "[[0,2]]").alias("marked")).union(S.hits(e, "chongq;py | lvse;py").select("file_id", F.lit(False)))
+
+
+def streamed(spark, state: DataFrame, batches: list[DataFrame], excluded=()) -> DataFrame:
+    """Batches of changes through a catalogue's state to its searchable snapshot, as Engine reads it."""
+    c = Catalogue(build.fresh_path(spark, "stream"), excluded)
+    c.write(state, spark.createDataFrame([("C", 1, -1), ("D", 1, -1)], VOLUMES))
+    c.refresh(spark)
+    for batch in batches:
+        c.apply(batch)
+    return Engine.load(spark, c.refresh(spark)).entries
+
+
+@query(EVENTS + "SELECT file_id, 'C:' || chr(92) || name AS path, coalesce(size, 0) AS size FROM t WHERE NOT deleted AND contains(name, '1')")
+def q_stream_search(spark, sf_dir):
+    ev = A.changes(spark, sf_dir).withColumn("is_dir", F.lit(False))
+    middle = F.lit(ev.agg(F.expr("percentile_approx(usn, 0.5)")).first()[0])
+    found = streamed(spark, spark.createDataFrame([], SCHEMA), [ev.filter(F.col("usn") <= middle), ev.filter(F.col("usn") > middle), ev])
+    return S.hits(found, "1").select("file_id", F.col("display_path").alias("path"), "size")
+
+
+@query(TREE + f"""SELECT entry_id, CASE WHEN starts_with(full_lc, 'c:{BS}asia') THEN 'C:{BS}europe2{BS}orient' || substr(path, 8) ELSE path END AS path FROM e
+    WHERE NOT starts_with(full_lc, 'd:{BS}america') AND NOT starts_with(full_lc, 'c:{BS}africa') AND NOT starts_with(full_lc, 'd:{BS}europe')
+    UNION ALL SELECT 7, 'C:{BS}europe2'""")
+def q_stream_moved_dirs(spark, sf_dir):
+    """A directory that is moved into one which the same batch makes after it, one that is deleted, and one that is excluded, each with all below."""
+    t = A.tree(spark, sf_dir)
+    state = t.select([c for c in STATE if c in t.columns])
+    top = {r["name"]: r for r in t.filter("parent_id = 0").select("name", "volume", "file_id").collect()}  # regions
+    kind = "volume string, usn long, journal_id long, op string, file_id long, parent_id long, name string, size long, mtime long, ctime long, attrs int, is_dir boolean"
+    none = (None,) * 5
+    events = [("C", 1, 1, "rename", top["ASIA"].file_id, 7, "ORIENT", *none), ("C", 2, 1, "create", 7, 0, "Europe2", 0, 0, 0, 1, True)]
+    events += [(top[n].volume, 3 + i, 1, "delete", top[n].file_id, None, None, *none) for i, n in enumerate(x for x in ("AFRICA", "EUROPE") if x in top)]
+    return streamed(spark, state, [spark.createDataFrame(events, kind)], ["D:/America"]).filter("not deleted").select(F.when(F.col("file_id") == 7, F.lit(7)).otherwise(F.col("file_id")).alias("entry_id"), F.col("display_path").alias("path"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EPOCH
 from ..operators import build
+from ..plans.literals import GROUPS
 
+#: All extensions of the extension groups, and one of none.
+TYPED = [*(x for g in GROUPS.values() for x in g.split()), "other"]
 _kept: dict[tuple, DataFrame] = {}
 
 
@@ -49,6 +52,18 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "tree", lambda: build.catalogue(tree_raw(spark, sf_dir)).withColumn("entry_id", F.col("file_id")))
 
 
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as files of every extension group and of sizes up to some GB; nations as directories, five of them without files."""
+    n, li = table(spark, sf_dir, "nation"), table(spark, sf_dir, "lineitem")
+    zero, k = F.lit(0).cast("long"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    exts = F.array(*map(F.lit, TYPED))
+    name = F.concat(F.lit("File_"), k.cast("string"), F.lit("."), F.get(exts, (k % len(TYPED)).cast("int")))
+    size = F.when(k % 11 == 0, 0).otherwise(F.floor("l_extendedprice") * F.element_at(F.array(*(F.lit(1 << 4 * i) for i in range(5))), (k % 5 + 1).cast("int"))).cast("long")
+    folders = n.select(F.lit("T").alias("volume"), (F.col("n_nationkey") + 100).cast("long").alias("file_id"), zero.alias("parent_id"), F.col("n_name").alias("name"), zero.alias("size"), zero.alias("mtime_ft"), zero.alias("ctime_ft"), F.lit(0x10).alias("attrs"), F.lit(True).alias("is_dir"))
+    files = li.select(F.lit("T").alias("volume"), (k + 1000).alias("file_id"), (k % 20 + 100).alias("parent_id"), name.alias("name"), size.alias("size"), zero.alias("mtime_ft"), zero.alias("ctime_ft"), F.lit(0).alias("attrs"), F.lit(False).alias("is_dir"))
+    return kept(spark, sf_dir, "typed", lambda: build.catalogue(folders.unionByName(files)).withColumn("entry_id", F.col("file_id")))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Entries and contents of documents."""
     d = table(spark, sf_dir, "documents")

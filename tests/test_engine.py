@@ -11,7 +11,7 @@ from pathquery.functions.text import ext_bucket, normalise_directory
 from pathquery.operators import build, changes, search
 from pathquery.plans import literals as L
 from pathquery.plans.syntax import Term, parse
-from pathquery.streaming.apply import STATE, Catalogue
+from pathquery.streaming.apply import SCHEMA, STATE, Catalogue
 
 NOW = datetime(2026, 4, 22, 15, tzinfo=UTC)
 
@@ -105,3 +105,51 @@ def test_changes_and_stream(spark, tmp_path):
         assert [(r.file_id, r.deleted) for r in state.collect()] == [(7, True)] and volumes.first().last_usn == 5
     with pytest.raises(CatalogError):
         c.apply(ev.withColumn("journal_id", F.lit(2).cast("long")))
+
+
+def test_versions_and_command_line(entries, tmp_path):
+    import io
+    import json
+
+    from pathquery.__main__ import main
+
+    spark, path = entries.sparkSession, f"file://{tmp_path}/v"
+    for i in range(4):
+        build.save(entries.limit(0) if i < 3 else entries, path)
+        build.retire(spark, path, 2)
+    assert build.versions(spark, path) == [3, 4] and len([x for x in (tmp_path / "v").iterdir() if x.name.startswith("snapshot")]) == 2
+    out = io.StringIO()
+    assert main([path, "search", "vfcompat", "--json"], spark, out) == 0 and {x["path"] for x in json.loads(out.getvalue())} == {"C:\\vfcompat.dll", "C:\\windows\\system32\\vfcompat.dll"}
+    for args, want in ((["count", "vfcompat"], "2"), (["search", "ext:yml"], "b.yml"), (["status"], "directories"), (["watch", "ext:yml", "--interval", "0"], "b.yml")):
+        out = io.StringIO()
+        assert main([path, *args], spark, out, rounds=2) == 0 and want in out.getvalue() and out.getvalue().count("system32") <= 1
+    assert main([path, "search", "bad1:z"], spark, out) == 2
+    with pytest.raises(CatalogError):
+        build.load(spark, f"file://{tmp_path}/nothing")
+
+
+def test_stream_to_search(spark, tmp_path):
+    """A directory that is moved takes what is below along; one that is excluded hides it; deltas are compacted."""
+    kind = "volume string, usn long, journal_id long, op string, file_id long, parent_id long, name string, size long, mtime long, ctime long, attrs int, is_dir boolean"
+    full = (0, 0, 0, 0)
+    rows = [("C", 1, 1, "create", 3, 2, "f.txt", *full, False), ("C", 2, 1, "create", 2, 1, "B", *full, True), ("C", 3, 1, "create", 1, 0, "A", *full, True), ("C", 4, 1, "create", 9, 0, "Secret", *full, True), ("C", 5, 1, "create", 10, 9, "k.txt", *full, False), ("C", 6, 1, "rename", 2, 0, "Moved", *(None,) * 5), ("C", 7, 1, "create", 11, 9, "late.txt", *full, False), ("C", 8, 1, "rename", 3, 9, "f.txt", *(None,) * 5)]
+    c = Catalogue(f"file://{tmp_path}/s", ["C:\\Secret"])
+    c.COMPACT = 3
+    c.write(spark.createDataFrame([], SCHEMA), spark.createDataFrame([("C", 1, 0)], "volume string, journal_id long, last_usn long"))
+    seen = []
+    for a, b in ((0, 5), (5, 6), (6, 8)):
+        c.apply(spark.createDataFrame(rows[a:b], kind))
+        e = Engine.load(spark, c.refresh(spark))
+        seen.append(names(search.hits(e.entries, "")))
+    assert seen == [["C:\\a", "C:\\a\\b", "C:\\a\\b\\f.txt"], ["C:\\a", "C:\\moved", "C:\\moved\\f.txt"], ["C:\\a", "C:\\moved"]]
+    now = build.version(spark, c.path)
+    assert now["deltas"] == [] and len(build.versions(spark, c.path)) <= c.KEEP
+
+
+def test_binary_contents_and_marks(entries):
+    spark = entries.sparkSession
+    contents = spark.createDataFrame([("C", 10, "Hello Wörld".encode("utf-16")), ("C", 11, "hello".encode()), ("C", 12, b"\x00\x01hello" * 40), ("C", 13, None)], "volume string, file_id long, content binary")
+    assert names(search.hits(entries, "content:HELLO", contents)) == ["C:\\vfcompat.dll", "C:\\windows\\system32\\vfcompat.dll"]
+    marks = lambda q, **o: [r.name_highlight for r in search.search(entries, q, **o).collect()]
+    assert marks("regex:^b\\.y") == [[[0, 3]]] and marks("bj", pinyin=True) == [[[0, 2]]]
+    assert search.sort_of(6) == "size:d" and search.sort_of(8) == "name:d" and search.sort_of(99) == "name"
