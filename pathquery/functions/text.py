@@ -81,28 +81,25 @@ def normalise_directory(path: str) -> str | None:
     return None if not p or (len(p) == 2 and p[1] == ":") else p
 
 
-def highlights(name: Column, needles: list[str], fold: bool = True) -> Column:
-    """Sorted, merged [start, end) ranges of all, also overlapping, occurrences of the needles."""
-    hay = ascii_lower(name) if fold else name
-
-    def ranges(n: str) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(hay) - len(n) + 1, F.lit(1)))
-        hits = F.filter(places, lambda i: F.substr(hay, i, F.lit(len(n))) == n)
-        return F.transform(hits, lambda i: F.struct((i - 1).cast("int").alias("s"), (i - 1 + len(n)).cast("int").alias("e")))
-
-    fold_needle = (lambda n: n.translate(str.maketrans(UPPER, LOWER))) if fold else (lambda n: n)
-    found = [ranges(n) for n in dict.fromkeys(fold_needle(n) for n in needles if n)]
-    empty = F.array().cast("array<struct<s:int,e:int>>")
+def highlights(name: str, needles: list[str], fold: bool = True) -> Column:
+    """Sorted, merged [start, end) ranges of all, also overlapping, occurrences of the needles in a column.
+
+    One SQL text: it takes one call where the same of Column objects takes hundreds, which is a search's latency.
+    """
+    table = str.maketrans(UPPER, LOWER)
+    found = list(dict.fromkeys(n.translate(table) if fold else n for n in needles if n))
     if not found:
-        return F.transform(empty, lambda r: F.array(r["s"], r["e"]))
+        return F.expr("cast(array() as array<array<int>>)")
+    hay = f"translate(`{name}`, '{UPPER}', '{LOWER}')" if fold else f"`{name}`"
+    starts = "array_sort(concat(" + ", ".join(f"transform(filter(sequence(1, greatest(length({hay}) - {len(n) - 1}, 1)), i -> substr({hay}, i, {len(n)}) = '{quoted(n)}'), i -> struct(i - 1 as s, i + {len(n) - 1} as e))" for n in found) + "))"
+    last = "element_at(acc, -1)"
+    joined = f"concat(slice(acc, 1, size(acc) - 1), array(array({last}[0], greatest({last}[1], r.e))))"
+    return F.expr(f"aggregate({starts}, cast(array() as array<array<int>>), (acc, r) -> if(size(acc) > 0 and r.s <= try_element_at(acc, -1)[1], {joined}, concat(acc, array(array(r.s, r.e)))))")
 
-    def add(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (r["s"] <= F.get(acc, F.size(acc) - 1)["e"]), joined).otherwise(F.concat(acc, F.array(r)))
 
-    merged = F.aggregate(F.array_sort(F.concat(*found)), empty, add)
-    return F.transform(merged, lambda r: F.array(r["s"], r["e"]))
+def quoted(text: str) -> str:
+    """A text inside single quotes of SQL."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def all_highlights(name: Column, needles: list[str], regexes: list[str], romanised: list[str]) -> Column:

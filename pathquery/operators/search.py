@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.content import binary_contains, text_contains
-from ..functions.text import all_highlights, highlights, unix_to_filetime
+from ..functions.text import EPOCH, all_highlights, highlights
 from ..plans.compile import predicate
 from ..plans.syntax import Branch, Query, low, parse
 
@@ -56,8 +56,8 @@ def search(entries: DataFrame, query: Query | str, limit: int = 1000, offset: in
     page = page.offset(offset).limit(n) if offset else page.limit(n)
     needles, regexes = [t.text for b in q.branches for t in b.terms], [r for b in q.branches for r in b.regexes]
     latin = [low(t.text) for b in q.branches for t in b.terms if re.fullmatch("[a-z]+", low(t.text)) and t.mode != "en" and (options.get("pinyin") or t.mode == "py")]
-    marks = all_highlights(F.col("name"), needles, regexes, latin) if regexes or latin else highlights(F.col("name"), needles)
-    return page.select("entry_id", "name", F.col("display_path").alias("path"), "size", "mtime", unix_to_filetime(F.col("mtime")).alias("mtime_ft"), F.col("is_dir").alias("is_directory"), marks.alias("name_highlight"))
+    marks = all_highlights(F.col("name"), needles, regexes, latin) if regexes or latin else highlights("name", needles)
+    return page.select(F.expr("*"), marks.alias("name_highlight")).selectExpr("entry_id", "name", "display_path as path", "size", "mtime", f"if(mtime > 0, (mtime + {EPOCH}) * 10000000, 0L) as mtime_ft", "is_dir as is_directory", "name_highlight")
 
 
 def total(entries: DataFrame, query: Query | str, **options) -> int:
