@@ -1,10 +1,13 @@
-"""Copies of images, whole, cropped or edited, by local descriptors.
+"""Copies of images, whole, cropped, turned, resized or edited, by local descriptors.
 
-Images are grey rasters (binary PGM).  For each scale of a small pyramid the strongest corners (Harris measure, local
-maxima) are found; a corner's patch is turned to its intensity centroid, in STEPS directions, and BITS comparisons of
-pixel pairs give its descriptor.  Descriptors are cut into BANDS words and meet in a table for each word (two descriptors
-with fewer than BANDS differing bits share one for certain); matches within NEAR bits vote for the copy's offset at their
-scale, and CONSENSUS matches of distinct corners with one offset make two images copies.  Links give classes.
+Images are rasters (binary PGM or PPM, read as grey).  For each scale of a small pyramid the strongest corners (Harris
+measure, local maxima) are found; a corner's patch is turned to its intensity centroid, in STEPS directions, and BITS
+comparisons of smoothed pixels give its descriptor.  Descriptors are cut into BANDS words and meet in a table for each
+word, whatever their scales (two descriptors with fewer than BANDS differing bits share one for certain).  Two images of
+which two corners meet within NEAR bits are compared in full, all corners of one with all of the other.  A match within
+NEAR bits tells how the copy is turned, resized and moved, by the directions, scales and places of its two corners;
+matches that agree are fitted with one such transform, and CONSENSUS distinct corners within OFFSET of it make two images
+copies.  Links give classes.
 
 Skew.  Equal images are collapsed by their hash before anything meets (one of each goes on).  Within a table word all
 corners of different images meet, however many there are, so that a large group of edited copies meets in pairs.
@@ -16,6 +19,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,28 +30,34 @@ from .common import arrow_schema, written
 from .components import components
 
 SCALES = (1.0, 0.7)
-CORNERS, RADIUS, STEPS, BITS, BANDS = 24, 11, 24, 128, 4
-NEAR, CONSENSUS, OFFSET = 12, 4, 3
+#: Places are told in units that make the longer side this many at most.
+SIDE = 4095
+CORNERS, RADIUS, MOMENT, STEPS, BITS, BANDS = 24, 11, 9, 64, 128, 4
+NEAR, CONSENSUS, OFFSET, AGREE = 12, 4, 2.5, 0.25
 _rng = np.random.Generator(np.random.PCG64(5))
 _tests = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS / 1.5, RADIUS / 1.5)
 _turned = np.stack([np.rint(_tests @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])).astype(np.int64) for t in np.arange(STEPS) * 2 * np.pi / STEPS])
 
 
+_head = re.compile(rb"(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
+
+
 def pgm(pixels: np.ndarray) -> bytes:
     h, w = pixels.shape
     return f"P5 {w} {h} 255\n".encode() + pixels.astype(np.uint8).tobytes()
 
 
 def raster(data: bytes | None) -> np.ndarray | None:
-    """A binary PGM's pixels, or None."""
-    try:
-        head, _, body = data.partition(b"\n")
-        kind, w, h, top = head.split()
-        if kind != b"P5" or int(top) > 255:
-            return None
-        return np.frombuffer(body, np.uint8, int(w) * int(h)).reshape(int(h), int(w))
-    except (AttributeError, ValueError):
+    """The grey pixels of a binary PGM or PPM of 8 bits, or None."""
+    m = _head.match(data or b"")
+    if not m or int(m[4]) > 255:
         return None
+    w, h, bands = int(m[2]), int(m[3]), 3 if m[1] == b"P6" else 1
+    body = np.frombuffer(data, np.uint8, offset=m.end())
+    if not w or not h or len(body) < w * h * bands:
+        return None
+    x = body[: w * h * bands].reshape(h, w, bands)
+    return x[:, :, 0] if bands == 1 else np.rint(x @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
 def boxed(x: np.ndarray, r: int) -> np.ndarray:
@@ -72,7 +83,7 @@ def resized(x: np.ndarray, scale: float) -> np.ndarray:
 
 
 def described(stack: np.ndarray):
-    """Of a stack of equal-sized images: (image number, scale, x, y, descriptor as four 32-bit words) arrays."""
+    """Of a stack of equal-sized images: (image number, scale, direction, x, y, descriptor as four 32-bit words) arrays; places are those of the whole image."""
     out = []
     for s, scale in enumerate(SCALES):
         x = boxed(resized(stack.astype(np.float64), scale), 1) / 9
@@ -97,25 +108,27 @@ def described(stack: np.ndarray):
         ys, xs = (v[good] + m for v in np.divmod(at, w - 2 * m))
         if not len(img):
             continue
-        g = np.arange(-5, 6)
-        patch = x[img[:, None, None], ys[:, None, None] + g[None, :, None], xs[:, None, None] + g[None, None, :]]
-        patch = patch - patch.mean(axis=(1, 2), keepdims=True)
+        g = np.arange(-MOMENT, MOMENT + 1)
+        disc = (g[:, None] ** 2 + g[None, :] ** 2 <= MOMENT**2).astype(float)
+        patch = x[img[:, None, None], ys[:, None, None] + g[None, :, None], xs[:, None, None] + g[None, None, :]] * disc
         angle = np.arctan2((patch * g[None, :, None]).sum((1, 2)), (patch * g[None, None, :]).sum((1, 2)))
+        smooth = boxed(x, 2)
         turn = np.rint(angle / (2 * np.pi) * STEPS).astype(int) % STEPS
         t = _turned[turn]
-        one = x[img[:, None], ys[:, None] + t[:, :, 0, 1], xs[:, None] + t[:, :, 0, 0]]
-        two = x[img[:, None], ys[:, None] + t[:, :, 1, 1], xs[:, None] + t[:, :, 1, 0]]
+        one = smooth[img[:, None], ys[:, None] + t[:, :, 0, 1], xs[:, None] + t[:, :, 0, 0]]
+        two = smooth[img[:, None], ys[:, None] + t[:, :, 1, 1], xs[:, None] + t[:, :, 1, 0]]
         code = np.packbits(one > two, axis=1).view(">u4").astype(np.int64)
-        out.append((img, np.full(len(img), s), xs, ys, code))
+        unit = min(1.0, SIDE / max(stack.shape[1:])) / scale
+        out.append((img, np.full(len(img), s), turn, np.rint(xs * unit).astype(np.int64), np.rint(ys * unit).astype(np.int64), code))
     if not out:
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros((0, BANDS), np.int64)]
+        return [np.zeros(0, np.int64)] * 5 + [np.zeros((0, BANDS), np.int64)]
     return [np.concatenate(v) for v in zip(*out)]
 
 
-#: A corner in a blob: scale, x, y and the descriptor as four 32-bit words.
-CORNER = np.dtype([("scale", "<i4"), ("x", "<u2"), ("y", "<u2"), ("code", "<u4", (BANDS,))])
+#: A corner in a blob: its place (scale, direction, x, y: 2, 6, 12 and 12 bits) and the descriptor as four 32-bit words.
+CORNER = np.dtype([("place", "<u4"), ("code", "<u4", (BANDS,))])
 KNOWN = "id long, sha string, corners binary"
-WORD = "word long, image long, rest long, last long"
+WORD = "word long, image long, rest long, last int"
 
 
 def corners(images: DataFrame) -> DataFrame:
@@ -130,13 +143,13 @@ def corners(images: DataFrame) -> DataFrame:
                 for sha, data in zip(shas, part.column(1).to_pylist()):
                     if sha not in blobs:
                         blobs[sha] = None
-                        if (x := raster(data)) is not None and max(x.shape) < 1 << 16:
+                        if (x := raster(data)) is not None:
                             by.setdefault(x.shape, []).append((sha, x))
                 for got in by.values():
-                    img, scale, x, y, code = described(np.stack([p for _, p in got]))
+                    img, scale, turn, x, y, code = described(np.stack([p for _, p in got]))
                     order = np.argsort(img, kind="stable")
                     rows = np.empty(len(img), CORNER)
-                    rows["scale"], rows["x"], rows["y"], rows["code"] = scale, x, y, code
+                    rows["place"], rows["code"] = scale << 30 | turn << 24 | x << 12 | y, code
                     ends = np.cumsum(np.bincount(img, minlength=len(got)))
                     for (sha, _), own in zip(got, np.split(rows[order], ends[:-1])):
                         blobs[sha] = own.tobytes() or None
@@ -146,7 +159,7 @@ def corners(images: DataFrame) -> DataFrame:
 
 
 def table_words(found: DataFrame) -> DataFrame:
-    """A row for each corner of (image, corners) and each of its table words: `word` is the word with its band and scale; `rest` and `last` hold the other words and the place."""
+    """A row for each corner of (image, corners) and each of its table words: `word` is the word with its band; `rest` and `last` hold the other words."""
     kinds = arrow_schema(WORD)
 
     def run(batches):
@@ -156,32 +169,78 @@ def table_words(found: DataFrame) -> DataFrame:
                 blobs = part.column(1).to_pylist()
                 rows = np.frombuffer(b"".join(blobs), CORNER)
                 image = np.repeat(part.column(0).to_numpy(), [len(b) // CORNER.itemsize for b in blobs])
-                code, place = rows["code"].astype(np.int64), (rows["x"].astype(np.int64) << 16) | rows["y"]
+                code = rows["code"].astype(np.int64)
                 for band in range(BANDS):
                     a, b, c = (code[:, k] for k in range(BANDS) if k != band)
-                    word = ((rows["scale"].astype(np.int64) * BANDS + band) << 32) | code[:, band]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (word, image, (a << 32) | b, (c << 32) | place)], schema=kinds)
+                    word = band << 32 | code[:, band]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (word, image, (a << 32) | b, c.astype(np.uint32).view(np.int32))], schema=kinds)
 
     return found.select("image", "corners").filter("corners is not null and image is not null").mapInArrow(run, WORD)
 
 
-def matched(words: DataFrame) -> DataFrame:
-    """(a, b, scale, at, dx, dy): corners of two images with a common table word and at most NEAR differing bits; at: the place in a.  A match may come more than once."""
+def candidates(words: DataFrame) -> DataFrame:
+    """(a, b) of images with corners that share a table word and have at most NEAR differing bits."""
     seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = words.join(seen, "word").drop("n")
-    far = lambda a, b: F.bit_count(F.col(f"{a}.rest").bitwiseXOR(F.col(f"{b}.rest"))) + F.bit_count(F.shiftright(F.col(f"{a}.last").bitwiseXOR(F.col(f"{b}.last")), 32))
-    x = lambda t: F.expr(f"cast(shiftright({t}.last, 16) & 65535 as int)")
-    y = lambda t: F.expr(f"cast({t}.last & 65535 as int)")
-    out = (F.col("a.image").alias("a"), F.col("b.image").alias("b"), F.expr(f"cast(shiftright(a.word, 32) div {BANDS} as int)").alias("scale"), F.expr("cast(a.last & 4294967295 as long)").alias("at"), (x("b") - x("a")).alias("dx"), (y("b") - y("a")).alias("dy"))
-    near = (F.col("a.image") < F.col("b.image")) & (far("a", "b") <= NEAR)
-    return placed.alias("a").join(placed.alias("b"), (F.col("a.word") == F.col("b.word")) & near).select(*out)
+    far = F.bit_count(F.col("a.rest").bitwiseXOR(F.col("b.rest"))) + F.bit_count(F.col("a.last").bitwiseXOR(F.col("b.last")))
+    near = (F.col("a.image") < F.col("b.image")) & (far <= NEAR)
+    pairs = placed.alias("a").join(placed.alias("b"), (F.col("a.word") == F.col("b.word")) & near)
+    return pairs.select(F.col("a.image").alias("a"), F.col("b.image").alias("b")).distinct()
+
+
+def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x + iy, scale, direction in radians) of packed places."""
+    return (at >> 12 & 4095) + 1j * (at & 4095), np.array(SCALES)[at >> 30], (at >> 24 & 63) * (2 * np.pi / STEPS)
+
+
+def transform(at: np.ndarray, bt: np.ndarray) -> tuple[complex, complex] | None:
+    """(z, t) of b = z a + t, the similarity that CONSENSUS distinct corners agree on within OFFSET, or None."""
+    (a, sa, da), (b, sb, db) = places(at), places(bt)
+    step = sa / sb * np.exp(1j * (db - da))  # what each match says of turn and size
+    _, kind = np.unique(step.round(6), return_inverse=True)
+    for i in np.argsort(-np.bincount(kind)[kind], kind="stable").tolist():  # what most say first
+        alike = np.abs(step / step[i] - 1) < 2 * AGREE
+        away = np.abs(b - b[i] - step[i] * (a - a[i]))
+        own = np.flatnonzero(alike & (away <= OFFSET + 0.3 * np.abs(b - b[i])))
+        for _ in range(3):
+            if not enough(a[own], b[own]):
+                break
+            x, y = a[own] - a[own].mean(), b[own] - b[own].mean()
+            z = complex((x.conj() * y).sum() / (np.abs(x) ** 2).sum())
+            t = complex(b[own].mean() - z * a[own].mean())
+            fit = np.flatnonzero((np.abs(step / z - 1) < AGREE) & (np.abs(z * a + t - b) <= OFFSET))
+            if len(fit) == len(own) and (fit == own).all():
+                return z, t
+            own = fit
+        else:
+            if enough(a[own], b[own]):
+                return z, t
+    return None
+
+
+def enough(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether CONSENSUS corners are at distinct places of both images."""
+    return all(len(np.unique((np.rint(x.real / 3) * 4096 + np.rint(x.imag / 3)))) >= CONSENSUS for x in (a, b))
+
+
+def agreed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b) of candidate pairs of which corners agree on a transform: all corners of one with all of the other, as an image has at most CORNERS of a scale.  known: (image, corners)."""
+    kinds = arrow_schema("a long, b long")
 
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                p, q = np.frombuffer(p, CORNER), np.frombuffer(q, CORNER)
+                u, v = np.nonzero(np.bitwise_count(p["code"][:, None] ^ q["code"][None]).sum(axis=2, dtype=np.int64) <= NEAR)
+                if len(u) >= CONSENSUS and transform(p["place"][u].astype(np.int64), q["place"][v].astype(np.int64)) is not None:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
 
-def agreed(matches: DataFrame) -> DataFrame:
-    """(a, b) of images with CONSENSUS matches of distinct corners within OFFSET of one match's offset.  An image has at most CORNERS corners of a scale, so a group has at most their square."""
-    groups = matches.groupBy("a", "b", "scale").agg(F.collect_set(F.struct("at", "dx", "dy")).alias("m")).filter(F.size("m") >= CONSENSUS)
-    agree = F.expr(f"exists(m, c -> size(array_distinct(transform(filter(m, v -> abs(v.dx - c.dx) <= {OFFSET} and abs(v.dy - c.dy) <= {OFFSET}), v -> v.at))) >= {CONSENSUS})")
-    return groups.filter(agree).select("a", "b").distinct()
+    for c in ("b", "a"):
+        pairs = pairs.join(known.select(F.col("image").alias(c), F.col("corners").alias(f"of_{c}")), c)
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def copies(images: DataFrame, id_col: str = "image_id", data_col: str = "data") -> DataFrame:
@@ -190,16 +249,29 @@ def copies(images: DataFrame, id_col: str = "image_id", data_col: str = "data")
     found = written(corners(rows), "corners")
     ids = written(found.groupBy("id").agg(F.min("sha").alias("sha")), "images")
     reps = written(ids.groupBy("sha").agg(F.min("id").alias("image")), "images")
-    one = found.groupBy("sha").agg(F.first("corners").alias("corners")).join(reps, "sha")
-    edges = written(agreed(matched(table_words(one))), "copies")
+    one = written(found.groupBy("sha").agg(F.first("corners").alias("corners")).join(reps, "sha").select("image", "corners"), "different")
+    edges = written(agreed(candidates(table_words(one)), one.select("image", "corners")), "copies")
     roots = components(edges)
     degree = edges.select(F.col("a").alias("image")).union(edges.select("b")).groupBy("image").agg(F.count(F.lit(1)).alias("links"))
     of = reps.join(roots, reps["image"] == roots["node"], "left").join(degree, "image", "left").select("sha", F.coalesce("root", "image").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
     return ids.join(of, "sha").select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
+def edited(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A crop of an image that is brighter, has a line drawn over, and is turned by quarters as often as not."""
+    side = len(x)
+    cut = rng.integers(0, 9, 2)
+    y = np.clip(x[cut[0] : side - 8 + cut[0], cut[1] : side - 8 + cut[1]] * 1.05 + 8, 0, 255)
+    y[3] = 255
+    return np.rot90(y, int(rng.integers(0, 4)) if rng.integers(0, 2) else 0)
+
+
+def texture(rng: np.random.Generator, side: int, cell: int) -> np.ndarray:
+    return boxed(np.kron(rng.integers(20, 220, (side // cell, side // cell)), np.ones((cell, cell)))[None], 1)[0] / 9
+
+
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 64, cell: int = 4) -> DataFrame:
-    """Two images for each vector, as stand-ins for a media column: a texture seeded by the vector (image 2 id) and a crop of it that is brighter and has a line drawn over (image 2 id + 1)."""
+    """Two images for each vector, as stand-ins for a media column: a texture seeded by the vector (image 2 id) and an edited crop of it (image 2 id + 1); a null id gives null ids."""
     schema = "image_id long, data binary"
     kinds = arrow_schema(schema)
 
@@ -207,16 +279,10 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         for batch in batches:
             ids, datas = [], []
             for key, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key is None:
-                    continue
                 rng = np.random.Generator(np.random.PCG64(seed & (2**63 - 1)))
-                small = rng.integers(20, 220, (side // cell, side // cell))
-                x = boxed(np.kron(small, np.ones((cell, cell)))[None], 1)[0] / 9
-                cut = rng.integers(0, 9, 2)
-                y = np.clip(x[cut[0] : side - 8 + cut[0], cut[1] : side - 8 + cut[1]] * 1.05 + 8, 0, 255)
-                y[3] = 255
-                ids += [2 * key, 2 * key + 1]
-                datas += [pgm(np.rint(x)), pgm(np.rint(y))]
+                x = texture(rng, side, cell)
+                ids += [None, None] if key is None else [2 * key, 2 * key + 1]
+                datas += [pgm(np.rint(x)), pgm(np.rint(edited(x, rng)))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(datas, pa.binary())], schema=kinds)
 
     return vectors.select(id_col, F.xxhash64(vector_col).alias("seed")).mapInArrow(run, schema)

@@ -252,6 +252,56 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
 def test_images_frequent_words(spark):
     """Two corners that are alike meet in a word of many corners, though the word's first image is unlike both."""
     far = lambda i: (i * 0x9E3779B97F4A7C15) % 2**63
-    rows = [(5, i, far(i + 1), far(i + 7) >> 32 << 32) for i in range(300)] + [(5, 1000 + i, 0, i << 16 | 9) for i in range(3)]
-    got = images.matched(spark.createDataFrame(rows, images.WORD)).filter("a >= 1000").collect()
-    assert {(r.a, r.b, r.dx, r.dy) for r in got} == {(1000, 1001, 1, 0), (1000, 1002, 2, 0), (1001, 1002, 1, 0)}
+    rows = [(5, i, far(i + 1), far(i + 7) >> 33) for i in range(300)] + [(5, 1000 + i, 0, i) for i in range(3)]
+    got = images.candidates(spark.createDataFrame(rows, images.WORD)).filter("a >= 1000").collect()
+    assert {(r.a, r.b) for r in got} == {(1000, 1001), (1000, 1002), (1001, 1002)}
+
+
+def turned(x, degrees):
+    """Bilinear, about the middle, cut to what the turned image covers."""
+    n = len(x)
+    c, half = (n - 1) / 2, int(n / 2 / (abs(np.cos(np.radians(degrees))) + abs(np.sin(np.radians(degrees))))) - 1
+    ys, xs = np.mgrid[-half : half + 1, -half : half + 1]
+    t = np.radians(degrees)
+    u, v = c + xs * np.cos(t) - ys * np.sin(t), c + xs * np.sin(t) + ys * np.cos(t)
+    i, j = np.floor(v).astype(int), np.floor(u).astype(int)
+    f, g = v - i, u - j
+    return x[i, j] * (1 - f) * (1 - g) + x[i, j + 1] * (1 - f) * g + x[i + 1, j] * f * (1 - g) + x[i + 1, j + 1] * f * g
+
+
+EDITS = {
+    "resized to 0.7": lambda x: images.resized(x[None], 0.7)[0],
+    "resized to 0.9": lambda x: images.resized(x[None], 0.9)[0],
+    "turned by 90": lambda x: np.rot90(x),
+    "turned by 20": lambda x: turned(x, 20),
+    "turned by 135": lambda x: turned(x, 135),
+    "cropped": lambda x: x[30:120, 20:110],
+    "cropped and resized": lambda x: images.resized(x[None, 10:130, 10:130], 0.7)[0],
+    "brighter": lambda x: np.clip(x * 1.1 + 10, 0, 255),
+}
+
+
+def test_images_edits(spark):
+    """Copies that are resized, turned or cropped are linked to their originals (0.9 of them or more of each kind), others to nothing."""
+    r = np.random.Generator(np.random.PCG64(1))
+    rows, n = [], 10
+    for i in range(n):
+        x = images.texture(r, 144, 6)
+        rows.append((1000 * i, images.pgm(np.rint(x))))
+        rows += [(1000 * i + 1 + k, images.pgm(np.rint(f(x)))) for k, f in enumerate(EDITS.values())]
+    got = {x.image_id: x.class_id for x in images.copies(spark.createDataFrame(rows, "image_id long, data binary")).collect()}
+    assert len({got[1000 * i] for i in range(n)}) == n and all(c // 1000 == i // 1000 for i, c in got.items())
+    found = {k: sum(got[1000 * i + 1 + j] == 1000 * i for i in range(n)) / n for j, k in enumerate(EDITS)}
+    assert min(found.values()) >= 0.9, found
+
+
+def test_images_formats(spark):
+    x = np.rint(images.texture(np.random.Generator(np.random.PCG64(2)), 64, 4)).astype(np.uint8)
+    split = b"P5\n# a note\n64\n64\n255\n" + x.tobytes()
+    colour = b"P6 64 64 255\n" + np.repeat(x, 3).tobytes()
+    assert (images.raster(split) == x).all() and (images.raster(colour) == x).all()
+    assert all(images.raster(b) is None for b in (None, b"", b"P5 64 64 255\nxx", b"P5 9 9 65535\n" + b"x" * 162, b"P4 1 1\n"))
+    rows = [(1, split), (2, colour), (3, images.pgm(x[5:60, 3:58])), (4, None), (5, b"junk"), (None, images.pgm(x)), (6, b""), (7, b"")]
+    got = {r.image_id: (r.class_id, r.n_links) for r in images.copies(spark.createDataFrame(rows, "image_id long, data binary")).collect()}
+    assert got[1][0] == got[2][0] == got[3][0] == 1 and got[4] == (4, 0) and got[5] == (5, 0) and got[6] == got[7] == (6, 0) and got[None][0] is None
+    assert images.copies(spark.createDataFrame([], "image_id long, data binary")).count() == 0
