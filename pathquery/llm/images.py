@@ -3,8 +3,8 @@
 Images are rasters (binary PGM or PPM, read as grey).  For each scale of a small pyramid the strongest corners (Harris
 measure, local maxima) are found; a corner's patch is turned to its intensity centroid, in STEPS directions, and BITS
 comparisons of smoothed pixels give its descriptor.  Descriptors are cut into BANDS words and meet in a table for each
-word, whatever their scales (two descriptors with fewer than BANDS differing bits share one for certain).  Two images of
-which two corners meet within NEAR bits are compared in full, all corners of one with all of the other.  A match within
+word, whatever their scales (two descriptors with fewer than BANDS differing bits share one for certain).  Two images
+whose corners meet MEET times within CLOSE bits are compared in full, all corners of one with all of the other.  A match within
 NEAR bits tells how the copy is turned, resized and moved, by the directions, scales and places of its two corners;
 matches that agree are fitted with one such transform, and CONSENSUS distinct corners within OFFSET of it make two images
 copies.  Links give classes.
@@ -34,6 +34,8 @@ SCALES = (1.0, 0.7)
 SIDE = 4095
 CORNERS, RADIUS, MOMENT, STEPS, BITS, BANDS = 24, 11, 9, 64, 128, 4
 NEAR, CONSENSUS, OFFSET, AGREE = 12, 4, 2.5, 0.25
+#: Words that make two images candidates, and the differing bits that corners with a common word may have for that.
+MEET, CLOSE = 2, 10
 _rng = np.random.Generator(np.random.PCG64(5))
 _tests = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS / 1.5, RADIUS / 1.5)
 _turned = np.stack([np.rint(_tests @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]])).astype(np.int64) for t in np.arange(STEPS) * 2 * np.pi / STEPS])
@@ -179,13 +181,11 @@ def table_words(found: DataFrame) -> DataFrame:
 
 
 def candidates(words: DataFrame) -> DataFrame:
-    """(a, b) of images with corners that share a table word and have at most NEAR differing bits."""
-    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = words.join(seen, "word").drop("n")
+    """(a, b) of images whose corners share MEET table words, one pair of corners or several, with at most CLOSE differing bits each."""
     far = F.bit_count(F.col("a.rest").bitwiseXOR(F.col("b.rest"))) + F.bit_count(F.col("a.last").bitwiseXOR(F.col("b.last")))
-    near = (F.col("a.image") < F.col("b.image")) & (far <= NEAR)
-    pairs = placed.alias("a").join(placed.alias("b"), (F.col("a.word") == F.col("b.word")) & near)
-    return pairs.select(F.col("a.image").alias("a"), F.col("b.image").alias("b")).distinct()
+    near = (F.col("a.image") < F.col("b.image")) & (far <= CLOSE)
+    pairs = words.alias("a").join(words.alias("b"), (F.col("a.word") == F.col("b.word")) & near)
+    return pairs.select(F.col("a.image").alias("a"), F.col("b.image").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEET).select("a", "b")
 
 
 def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -252,7 +252,7 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
 def test_images_frequent_words(spark):
     """Two corners that are alike meet in a word of many corners, though the word's first image is unlike both."""
     far = lambda i: (i * 0x9E3779B97F4A7C15) % 2**63
-    rows = [(5, i, far(i + 1), far(i + 7) >> 33) for i in range(300)] + [(5, 1000 + i, 0, i) for i in range(3)]
+    rows = [(w, *x) for w in (5, 6) for x in [(i, far(i + w), far(i + 7) >> 33) for i in range(300)] + [(1000 + i, 0, i) for i in range(3)]]
     got = images.candidates(spark.createDataFrame(rows, images.WORD)).filter("a >= 1000").collect()
     assert {(r.a, r.b) for r in got} == {(1000, 1001), (1000, 1002), (1001, 1002)}
 
