@@ -11,7 +11,8 @@ the id.  Prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a text of whose trigrams none is known
 gets the commonest learned language with score 0 (`und` where nothing was learned); ties go to the language first in
-order; repeated rows are predicted each; an empty table gives an empty result.
+order; repeated rows are predicted each; an empty table gives an empty result.  Of more than MAX_LANGUAGES labels, the
+commonest are learned.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_slices, slices
+from .common import arrow_schema, map_slices, slices, written
 
 #: Rows of a language that the filters are fitted on, about.
 SAMPLE = 10_000
 #: A trigram's least share of a language's trigrams (hence 1 / MIN_SHARE trigrams of a language at most), and of its largest share in any language.
 MIN_SHARE, TYPICAL = 1e-5, 0.5
 HASHES, BITS_EACH = 3, 24
-MAX_LANGUAGES = 64
+#: The commonest languages that are learned, at most; 64 of them share a word of the filter.
+MAX_LANGUAGES = 512
 _letters: np.ndarray | None = None
 
 
@@ -63,11 +65,11 @@ class Filters:
         self.languages, self.common = languages, common
         bits = max(10, (BITS_EACH * max(map(len, sets), default=1)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.slices = np.zeros(1 << bits, np.uint64)
+        self.slices = np.zeros((max(1, -(-len(sets) // 64)), 1 << bits), np.uint64)
         for i, grams in enumerate(sets):
             for at in self._places(grams):
-                np.bitwise_or.at(self.slices, at, np.uint64(1 << i))
-        fill = [float(((self.slices >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))]
+                np.bitwise_or.at(self.slices[i // 64], at, np.uint64(1 << i % 64))
+        fill = [float(((self.slices[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(languages))]
         self.false = np.array([f**HASHES for f in fill])
 
     def _places(self, grams: np.ndarray):
@@ -75,10 +77,10 @@ class Filters:
         for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)[:HASHES]:
             yield ((g ^ (g >> np.uint64(29))) * np.uint64(m)) >> self.shift
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
+    def masks(self, grams: np.ndarray, word: int) -> np.ndarray:
         out = None
         for at in self._places(grams):
-            out = self.slices[at] if out is None else out & self.slices[at]
+            out = self.slices[word][at] if out is None else out & self.slices[word][at]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -86,10 +88,11 @@ class Filters:
         total = np.diff(edges)
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
-        masks = self.masks(grams)
         true = np.zeros((len(texts), len(self.languages)))
         for i, f in enumerate(self.false):
-            hits = np.concatenate([[0], np.cumsum((masks >> np.uint64(i)) & np.uint64(1), dtype=np.int64)])
+            if i % 64 == 0:
+                masks = self.masks(grams, i // 64)
+            hits = np.concatenate([[0], np.cumsum((masks >> np.uint64(i % 64)) & np.uint64(1), dtype=np.int64)])
             true[:, i] = np.maximum(0, (np.diff(hits[edges]) - total * f) / (1 - f))
         best = np.where(true.any(axis=1), true.argmax(axis=1), self.common)
         score = np.minimum(1.0, true[np.arange(len(texts)), best] / np.maximum(1, total))
@@ -99,9 +102,7 @@ class Filters:
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters from labelled rows; rows whose text or language is null teach nothing."""
     train = train.filter(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    sizes = {r[0]: r[1] for r in train.groupBy(lang_col).count().orderBy(lang_col).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in train.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Filters([], 0, [])
@@ -119,11 +120,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                     yield pa.RecordBatch.from_pydict({"lang": [k] * len(grams), "gram": grams, "n": n}, schema=kinds)
 
     parts = train.filter(unit < share).mapInArrow(count, "lang string, gram long, n long")
-    counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).cache()
+    counts = written(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     least = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(MIN_SHARE * totals.get(k, 0)))))[F.col("lang")]
     rows = counts.filter(F.col("n") >= least).toPandas()
-    counts.unpersist()
     rows["share"] = rows.n / rows.lang.map(totals)
     rows = rows[rows.share >= TYPICAL * rows.groupby("gram").share.transform("max")]
     common = languages.index(max(languages, key=lambda k: (sizes[k], k)))
