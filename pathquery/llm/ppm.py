@@ -305,5 +305,8 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         out |= {"id": left.column("id"), "train": left.column("train"), "train_tokens": [total] * n, "score": np.concatenate(out["score"]) if n else []}
         return pa.Table.from_pydict(out, schema=result)
 
-    scored = source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema)
+    # as many tasks as blocks, so that what a task reads doesn't grow with the table
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), block_count(df, BLOCK_BYTES))
+    left, right = (x.repartition(tasks, "block").groupBy("block") for x in (source, answers))
+    scored = left.cogroup(right).applyInArrow(answer, schema)
     return scored.withColumnRenamed("id", id_col)
