@@ -26,6 +26,10 @@ class Engine:
     def search(self, query: str, limit: int = 500, offset: int = 0, pinyin: bool = False, now: datetime | None = None) -> DataFrame:
         return S.search(self.entries, query, limit, offset, **self._options(pinyin, now))
 
+    def client(self, text: str, search_flags: int = 0, sort: int = 1, offset: int = 0, maximum: int = S.CLIENT_HITS, request_flags: int = 1 | 2) -> DataFrame:
+        """A request in the numbers of the client protocol."""
+        return S.client_search(self.entries, text, search_flags, sort, offset, maximum, request_flags, contents=self.contents, metadata_ready=self.metadata_ready)
+
     def count(self, query: str, pinyin: bool = False, now: datetime | None = None) -> int:
         return S.total(self.entries, query, **self._options(pinyin, now))
 

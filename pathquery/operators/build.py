@@ -74,6 +74,12 @@ def directory_paths(raw: DataFrame) -> DataFrame:
     raise CatalogError("the directory tree has a cycle or is too deep")
 
 
+def orphans(raw: DataFrame) -> DataFrame:
+    """Records below a directory that the scan lacks; catalogue() hangs them below their volume's root."""
+    known = raw.filter("is_dir").select("volume", F.col("file_id").alias("parent_id"))
+    return raw.filter("parent_id <> 0").join(known, ["volume", "parent_id"], "left_anti").select(raw.columns)
+
+
 def catalogue(raw: DataFrame, excluded: list[str] = ()) -> DataFrame:
     """Entries of raw records: paths, folded names, extension, depth, child counts, and `deleted` for what lies in excluded directories.
 
@@ -186,3 +192,8 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 
 def status(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if("is_dir").alias("directories"), F.count_if("deleted").alias("deleted"))
+
+
+def deleted_share(entries: DataFrame) -> DataFrame:
+    """The part of all entries that are marked as deleted; a snapshot with many is worth writing anew.  Null without entries."""
+    return entries.agg(F.avg(F.col("deleted").cast("int")).alias("deleted_share"))

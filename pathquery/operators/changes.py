@@ -15,13 +15,28 @@ from .build import in_directories
 
 KEY = ["volume", "file_id"]
 #: Reason bits of journal records, by what they mean.
-REASONS = {"delete": 0x200, "create": 0x100, "rename_new": 0x2000, "rename_old": 0x1000, "data": 0x7 | 0x8000}
+REASONS = {"delete": 0x200, "create": 0x100 | 0x2000, "rename": 0x1000, "modify": 0x2 | 0x4 | 0x8000}
 
 
 def operation(reason) -> "F.Column":
-    """The event that a journal record's reasons stand for; the old name of a rename stands for nothing."""
-    has = lambda k: reason.bitwiseAND(F.lit(REASONS[k])) != 0
-    return F.when(has("delete"), "delete").when(has("create"), "create").when(has("rename_new"), "rename").when(has("data") & ~has("rename_old"), "modify")
+    """The event that a journal record's reasons stand for, the first that holds of REASONS, or null.
+
+    The new name of a rename is a create (its metadata are read anew), the old name a rename to what the record says.
+    """
+    return F.coalesce(*(F.when(reason.bitwiseAND(F.lit(bits)) != 0, F.lit(op)) for op, bits in REASONS.items()))
+
+
+def events(records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Change events of journal records (volume, journal_id, usn, file_id, parent_id, name, reason, attrs, is_dir).
+
+    metadata: (volume, file_id, size, mtime, ctime) as read now, one row a key.  A create without metadata goes (the file is
+    gone by now); a modify without them changes nothing.  Records that stand for no event go.
+    """
+    ev = records.withColumn("op", operation(F.col("reason"))).filter("op is not null")
+    ev = ev.join(metadata.select(*KEY, "size", "mtime", "ctime", F.lit(True).alias("_read")), KEY, "left").filter("op <> 'create' or _read")
+    valued, named, made = F.col("op").isin("create", "modify"), F.col("op").isin("create", "rename"), F.col("op") == "create"
+    own = {"parent_id": named, "name": named, "size": valued, "mtime": valued, "ctime": valued, "attrs": made, "is_dir": made}
+    return ev.select(*KEY, "usn", "journal_id", "op", *(F.when(cond, F.col(c)).alias(c) for c, cond in own.items()))
 
 
 def check_journal(volumes: DataFrame, changes: DataFrame) -> None:

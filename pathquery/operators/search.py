@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 from operator import or_
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.content import binary_contains, text_contains
 from ..functions.text import EPOCH, all_highlights, highlights
 from ..plans.compile import predicate
-from ..plans.syntax import Branch, Query, low, parse
+from ..plans.syntax import SORTS as SORT_COLUMNS
+from ..plans.syntax import Branch, Query, flagged, low, parse
 
 
 def alone(b: Branch) -> bool:
@@ -47,13 +49,16 @@ def ordered(found: DataFrame, q: Query, metadata_ready: bool = True) -> list:
     return [c.desc() if q.descending else c.asc(), F.col("entry_id")]
 
 
+def paged(entries: DataFrame, q: Query, limit: int, offset: int = 0, **options) -> DataFrame:
+    """The entries of a page of hits, sorted; ties go by entry_id."""
+    page = hits(entries, q, **options).orderBy(*ordered(entries, q, options.get("metadata_ready", True)))
+    return page.offset(offset).limit(limit) if offset else page.limit(limit)
+
+
 def search(entries: DataFrame, query: Query | str, limit: int = 1000, offset: int = 0, **options) -> DataFrame:
     """A page of hits, sorted, with the query's own count: in preference to `limit`; ties go by entry_id."""
     q = parse(query, options.get("now")) if isinstance(query, str) else query
-    found = hits(entries, q, **options)
-    n = limit if q.limit is None else q.limit
-    page = found.orderBy(*ordered(found, q, options.get("metadata_ready", True)))
-    page = page.offset(offset).limit(n) if offset else page.limit(n)
+    page = paged(entries, q, limit if q.limit is None else q.limit, offset, **options)
     needles, regexes = [t.text for b in q.branches for t in b.terms], [r for b in q.branches for r in b.regexes]
     latin = [low(t.text) for b in q.branches for t in b.terms if re.fullmatch("[a-z]+", low(t.text)) and t.mode != "en" and (options.get("pinyin") or t.mode == "py")]
     marks = all_highlights(F.col("name"), needles, regexes, latin) if regexes or latin else highlights("name", needles)
@@ -79,7 +84,7 @@ SORTS = {1: "name", 2: "name:d", 3: "path", 4: "path:d", 5: "size", 6: "size:d",
 
 def sort_of(number: int) -> str:
     """The value of sort: that a client's number stands for."""
-    return SORTS.get(number, "name:d" if number <= 26 and number % 2 == 0 else "name")
+    return SORTS.get(number, "name:d" if 2 <= number <= 26 and number % 2 == 0 else "name")
 
 
 #: Request flags of the client protocol and their columns.
@@ -92,3 +97,30 @@ def projected(found: DataFrame, flags: int) -> DataFrame:
         "ctime": F.col("ctime"), "mtime": F.col("mtime"), "atime": F.lit(0).cast("long"), "attributes": F.col("attrs"), "run_count": F.lit(0).cast("long"),
     }
     return found.select("entry_id", *(cols[c].alias(c) for bit, c in FLAGS.items() if flags & bit))
+
+
+#: Fixed value: hits that a client's request may reach, its offset included.
+CLIENT_HITS = 8192
+
+
+def client_search(entries: DataFrame, text: str, search_flags: int = 0, sort: int = 1, offset: int = 0, maximum: int = CLIENT_HITS, request_flags: int = 1 | 2, **options) -> DataFrame:
+    """A request in the numbers of the client protocol: a page in the order of `sort`, with the columns of `request_flags`.
+
+    An empty text finds nothing; the sort: and count: of the text give way to the request's; romanised names are matched.
+    """
+    by, _, way = sort_of(sort).partition(":")
+    q = replace(flagged(parse(text, options.get("now")), search_flags), sort=SORT_COLUMNS[by], descending=way == "d")
+    reach = max(min(offset + maximum, CLIENT_HITS) - offset, 0) if text.strip() else 0
+    return projected(paged(entries, q, reach, offset, **({"pinyin": True} | options)), request_flags)
+
+
+def resorted(page: DataFrame, by: str, descending: bool = False) -> DataFrame:
+    """A page that was fetched in the order of one of its columns, names and paths regardless of case; ties go by entry_id."""
+    c = F.lower(by) if by in ("name", "path") else F.col(by)
+    return page.orderBy(c.desc() if descending else c.asc(), "entry_id")
+
+
+def form_rows(page: DataFrame) -> DataFrame:
+    """A page as the search form shows it: with the extension as it is written (none for names such as .profile), times in Unix seconds, no time of creation."""
+    modified = F.greatest(F.floor(F.col("mtime_ft") / 10_000_000).cast("long") - EPOCH, F.lit(0))
+    return page.select("entry_id", "name", "path", F.regexp_extract("name", r"^.+\.([^.]*)$", 1).alias("extension"), "size", F.lit(0).cast("long").alias("created_unix"), modified.cast("long").alias("modified_unix"), "is_directory", "name_highlight")

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 
 from .api import Engine
 from .operators import backfill as B
-from .operators import build, changes as C, duplicates as D, search as S
+from .operators import build, changes as C, duplicates as D, search as S, volumes as V
 from .plans.literals import GROUPS
 from .sources import adapters as A
 from .streaming.apply import SCHEMA, STATE, VOLUMES, Catalogue
@@ -301,10 +301,75 @@ def q_mft_masked_join(spark, sf_dir):
     return B.join_by_record(raw, meta).select("file_id", "size")
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS file_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT CAST(o_orderkey + 1000000000 AS BIGINT) AS file_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
 def q_orphans(spark, sf_dir):
-    o, c = A.table(spark, sf_dir, "orders"), A.table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-    return o.join(c, o["o_custkey"] == c["c_custkey"], "left_anti").select(F.col("o_orderkey").alias("file_id"))
+    raw = A.tree_raw(spark, sf_dir).filter("not is_dir or file_id < 1000000 or file_id % 2 = 0")
+    return build.orphans(raw).select("file_id")
+
+
+@query(TREE + "SELECT avg(CASE WHEN starts_with(full_lc, 'c:" + BS + "asia') THEN 1 ELSE 0 END) AS deleted_share FROM e")
+def q_deleted_share(spark, sf_dir):
+    return build.deleted_share(build.exclude(A.tree(spark, sf_dir), ["C:/Asia/"]))
+
+
+@query(TREE + "SELECT CAST(entry_id AS BIGINT) AS file_id, name, CAST(CASE WHEN NOT is_dir AND file_id % 3 <> 0 THEN size + 1 ELSE size END AS BIGINT) AS size FROM e")
+def q_reparse_supplement(spark, sf_dir):
+    """A scan that lacks two files of three, and a walk that finds them, and others that are known, several times."""
+    raw = A.tree_raw(spark, sf_dir)
+    walked = raw.filter("not is_dir").withColumn("size", F.col("size") + 1)
+    return V.supplemented(raw.filter("is_dir or file_id % 3 = 0"), walked.union(walked)).select("file_id", "name", "size")
+
+
+@query(TREE + f"SELECT volume, count(*) AS n, count(*) FILTER (NOT is_dir AND ext_lc = 'pdf') AS pdfs, CAST(sum(depth) AS BIGINT) AS depths FROM e WHERE NOT starts_with(full_lc, 'c:{BS}asia') GROUP BY 1")
+def q_index_volumes(spark, sf_dir):
+    """Both volumes scanned at once, saved, and read as Engine does."""
+    raw, path = build.stored(A.tree_raw(spark, sf_dir), "raw"), build.fresh_path(spark, "volumes")
+    V.index_volumes(spark, lambda v: raw.filter(F.col("volume") == v), V.volume_list(volumes=["C", "D"]), path, ["C:/Asia"])
+    e = Engine.load(spark, path).entries.filter("not deleted")
+    return e.groupBy("volume").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_dir") & (F.col("ext_lc") == "pdf")).alias("pdfs"), F.sum("depth").alias("depths"))
+
+
+#: Requests in the client's numbers: (text, search flags, sort, offset, at most, predicate, order in SQL).
+CLIENT = {
+    "q_client_regex": ("^Order_[0-9]{2}\\.pdf$", 1, 1, 0, 8192, "regexp_matches(name, '^Order_[0-9]{2}[.]pdf$')", "name, entry_id"),
+    "q_client_case_word": ("PDF", 2 | 4, 6, 0, 100, "regexp_matches(name, '(^|[^A-Za-z0-9_])PDF([^A-Za-z0-9_]|$)')", "size DESC, entry_id"),
+    "q_client_page": ("ext:txt", 8, 14, 10, 25, "ext_lc = 'txt'", "mtime DESC, entry_id"),
+    "q_client_sort_by_name": ("ext:md sort:size", 0, 8, 0, 40, "ext_lc = 'md'", "name DESC, entry_id"),
+}
+for _name, (_text, _flags, _sort, _offset, _most, _where, _order) in CLIENT.items():
+    QUERIES[_name] = lambda spark, sf_dir, a=(_text, _flags, _sort, _offset, _most): S.client_search(A.tree(spark, sf_dir), *a, 1 | 4 | 16 | 64)
+    ORACLES[_name] = f"{TREE} SELECT entry_id, name, path AS full_path, size, mtime FROM e WHERE {_where} ORDER BY {_order} LIMIT {_most} OFFSET {_offset}"
+
+
+@query(TREE + "SELECT entry_id, row_number() OVER (ORDER BY lower(name) DESC, entry_id) AS place FROM (SELECT * FROM e WHERE contains(name_lc, '7') ORDER BY size DESC, entry_id LIMIT 60)")
+def q_page_resorted(spark, sf_dir):
+    from pyspark.sql import Window
+
+    page = S.resorted(S.search(A.tree(spark, sf_dir), "7 sort:size:desc", limit=60), "name", True)
+    # one window over one page
+    return page.select("entry_id", F.row_number().over(Window.orderBy(F.lower("name").desc(), "entry_id")).cast("long").alias("place"))
+
+
+@query(TREE + "SELECT entry_id, name, path, regexp_extract(name, '^.+[.]([^.]*)$', 1) AS extension, size, CAST(0 AS BIGINT) AS created_unix, mtime AS modified_unix, is_dir AS is_directory FROM e WHERE contains(name_lc, '12') ORDER BY size DESC, entry_id LIMIT 200")
+def q_form_rows(spark, sf_dir):
+    return S.form_rows(S.search(A.tree(spark, sf_dir), "12 sort:size:desc", limit=200)).drop("name_highlight")
+
+
+@query("""
+    WITH r AS (SELECT *, [512, 256, 8192, 4096, 2, 4, 32768, 1, 512 + 256, 8192 + 4096, 4096 + 2, 2147483648][event_id % 12 + 1] AS reason FROM events),
+    o AS (SELECT *, CASE event_id % 12 WHEN 0 THEN 'delete' WHEN 8 THEN 'delete' WHEN 1 THEN 'create' WHEN 2 THEN 'create' WHEN 9 THEN 'create' WHEN 3 THEN 'rename' WHEN 10 THEN 'rename' WHEN 4 THEN 'modify' WHEN 5 THEN 'modify' WHEN 6 THEN 'modify' END AS op FROM r)
+    SELECT event_id AS usn, user_id AS file_id, op, CASE WHEN op IN ('create', 'rename') THEN 'n' || CAST(event_id AS VARCHAR) END AS name,
+        CASE WHEN op IN ('create', 'modify') AND user_id % 3 <> 0 THEN user_id * 10 END AS size, CASE WHEN op = 'create' THEN user_id % 2 = 0 END AS is_dir
+    FROM o WHERE op IS NOT NULL AND (op <> 'create' OR user_id % 3 <> 0)
+""")
+def q_journal_events(spark, sf_dir):
+    """Journal records of all reasons; a third of the files can't be read any more."""
+    e, k = A.table(spark, sf_dir, "events"), F.col("user_id")
+    reasons = F.array(*(F.lit(x).cast("long") for x in (512, 256, 8192, 4096, 2, 4, 32768, 1, 512 + 256, 8192 + 4096, 4096 + 2, 2147483648)))
+    records = e.select(F.lit("C").alias("volume"), F.lit(1).cast("long").alias("journal_id"), F.col("event_id").cast("long").alias("usn"), k.cast("long").alias("file_id"), F.lit(0).cast("long").alias("parent_id"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("name"), F.get(reasons, (F.col("event_id") % 12).cast("int")).alias("reason"), F.lit(0).alias("attrs"), (k % 2 == 0).alias("is_dir"))
+    time = F.lit(1).cast("long")
+    read = e.filter("user_id % 3 <> 0").select(F.lit("C").alias("volume"), k.cast("long").alias("file_id"), (k * 10).cast("long").alias("size"), time.alias("mtime"), time.alias("ctime")).distinct()
+    return C.events(records, read).select("usn", "file_id", "op", "name", "size", "is_dir")
 
 
 @query(TREE + "SELECT entry_id, name, volume || ':' || pp AS path, coalesce(ext_lc, '') AS extension, size, CAST(attrs AS BIGINT) AS attributes FROM e WHERE ext_lc = 'md'")

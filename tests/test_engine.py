@@ -153,3 +153,60 @@ def test_binary_contents_and_marks(entries):
     marks = lambda q, **o: [r.name_highlight for r in search.search(entries, q, **o).collect()]
     assert marks("regex:^b\\.y") == [[[0, 3]]] and marks("bj", pinyin=True) == [[[0, 2]]]
     assert search.sort_of(6) == "size:d" and search.sort_of(8) == "name:d" and search.sort_of(99) == "name"
+
+
+def test_client_requests(entries):
+    ids = lambda *a, **o: [r.name for r in search.client_search(entries, *a, **o).collect()]
+    assert ids("") == [] and ids("  ", 1) == []
+    assert search.sort_of(0) == "name" and search.sort_of(14) == "modified:d"
+    # the request's order wins over that of any branch; an open quote is a character
+    assert ids('vfcompat "') == []
+    up, down = ids("vfcompat sort:size | ext:yml", 0, 1), ids("vfcompat sort:size | ext:yml", 0, 2)
+    assert sorted(up) == up and down == up[::-1] and len(up) == 3
+    assert ids("^b\\.y", 1) == ["b.yml"] and ids("B.YML", 2) == [] and ids("yml", 4) == ["b.yml"]
+    assert ids("", 0, 1, search.CLIENT_HITS, 10) == [] and ids("vfcompat", 0, 1, 1, 10) == ids("vfcompat")[1:]
+    page = search.search(entries, "vfcompat")
+    assert search.resorted(page, "path", True).first().path > search.resorted(page, "path").first().path
+    assert {r.extension for r in search.form_rows(page).collect()} == {"dll"}
+
+
+def test_volumes(spark, tmp_path):
+    import json
+
+    from pathquery.operators import volumes as V
+
+    assert V.volume_list() == ["C:"] and V.volume_list(found=["E:", "D:"]) == ["D:", "E:"] and V.volume_list("X:", []) == ["X:"] and V.volume_list("X:") == ["X:"] and V.volume_list("X:", ["D:"]) == ["D:"]
+    raw = lambda v, n: spark.createDataFrame([(v, i, 0, f"f{i}", 1, 0, 0, 0, False) for i in range(1, n + 1)], build.RAW)
+    path = f"file://{tmp_path}/v"
+    V.index_volumes(spark, lambda v: raw(v, 3), ["C", "D"], path)
+    assert Engine.load(spark, path).count("") == 6 and not (tmp_path / "v" / "indexing.json").exists()
+
+    def broken(v):
+        if v == "D":
+            raise OSError("not ready")
+        return raw(v, 5)
+
+    with pytest.raises(CatalogError, match="volume D"):
+        V.index_volumes(spark, broken, ["C", "D"], path, threads=1)
+    state = json.loads((tmp_path / "v" / "indexing.json").read_text())
+    assert state["phase"] == "failed" and state["volumes_completed"] == 1 and state["entries_indexed"] == 5
+    assert Engine.load(spark, path).count("") == 6
+    links = raw("C", 2).withColumn("is_dir", F.lit(True)).withColumn("attrs", F.when(F.col("file_id") == 1, 0x410).otherwise(0x10))
+    assert [r.file_id for r in V.reparse_directories(links).collect()] == [1]
+    assert V.supplemented(raw("C", 2), raw("C", 4).union(raw("C", 4))).count() == 4
+    assert [r.file_id for r in build.orphans(raw("C", 2).withColumn("parent_id", F.col("file_id") - 1)).collect()] == [2]
+    assert build.deleted_share(build.catalogue(raw("C", 4), ["C:\\f1"])).first()[0] == 0.25
+
+
+def test_journal_events(spark):
+    """A file that comes from an unknown place is made by the new name of its rename; one that can't be read any more isn't."""
+    from pathquery.operators import changes
+
+    rows = [("C", 1, i, f, 0, n, r, 0, False) for i, f, n, r in ((1, 1, "old", 0x1000), (2, 1, "new", 0x2000), (3, 2, "gone", 0x100), (4, 1, "new", 0x2), (5, 3, "x", 0x1), (6, 4, "known", 0x4))]
+    records = spark.createDataFrame(rows, "volume string, journal_id long, usn long, file_id long, parent_id long, name string, reason long, attrs int, is_dir boolean")
+    read = spark.createDataFrame([("C", 1, 7, 8, 9)], "volume string, file_id long, size long, mtime long, ctime long")
+    state = spark.createDataFrame([("C", 4, 0, "known", 5, 5, 5, 0, False, False)], SCHEMA)
+    ev = changes.events(records, read)
+    assert sorted((r.usn, r.op) for r in ev.collect()) == [(1, "rename"), (2, "create"), (4, "modify"), (6, "modify")]
+    got = {r.file_id: (r.name, r["size"], r.mtime) for r in changes.apply_changes(state, ev).collect()}
+    assert got == {1: ("new", 7, 8), 4: ("known", 5, 5)}
