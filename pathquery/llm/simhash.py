@@ -16,7 +16,8 @@ BANDS hashes of ROWS minima of the shingles' hashes each (a pair at 0.8 has one
 the shingles themselves are compared.  Equal texts are collapsed first.  In a cell every member is compared with a hub and
 with the BEFORE members before it, in an order that is another one in each cell; cells with over 1 / SHARES of all entries are
 salted, and their hubs are compared likewise.  Pairs of a few bands are compared first; of the others, those that these
-left unconnected.  That compares no group in pairs; what it loses is measured (README).
+left unconnected.  Texts of cells that still hold several components, where not all pairs were compared, are compared
+across components wherever a prefix filter on their shingles, which is exact, lets them be similar.  No group is compared in pairs.
 
 Defined results: null text is the empty text; texts without words have fingerprint zero and are linked like any other;
 ids that are null have a fingerprint and a component but never name one, unless no id of the component is set (null).
@@ -221,7 +222,29 @@ def similar_roots(df: DataFrame, nodes: DataFrame, text_col: str, words: int, si
     for c in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
     rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    return components(verified(rest).union(roots.select("node", "root")))
+    roots = written(components(verified(rest).union(roots.select("node", "root"))), "roots")
+    more = written(verified(across(nodes, roots, sets, similarity).join(pairs, ["a", "b"], "left_anti")), "across")
+    return components(more.union(roots.select("node", "root"))) if more.limit(1).count() else roots
+
+
+def across(nodes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all pairs of different components that may be similar, of the texts of cells where not all pairs were compared.
+
+    Of two similar sets of n and m shingles, each has one of the common ones among the n - ceil(similarity n) + 1 that
+    come first in any order that holds for all; here common shingles, of which there are fewer than SHARES, come last.
+    """
+    cells = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("cell"))
+    apart = cells.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") > BEFORE + 2))
+    some = cells.join(apart.select("cell"), "cell", "left_semi").groupBy("fp").agg(F.first("root").alias("root"))
+    held = written(sets.join(some, "fp").select("fp", "root", F.size("shingles").alias("n"), "shingles"), "apart")
+    each = held.select("fp", "root", "n", F.explode("shingles").alias("s"))
+    least = max(64, (held.agg(F.sum("n")).first()[0] or 0) // SHARES)
+    known = each.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > least)  # fewer than SHARES
+    placed = each.join(F.broadcast(known), "s", "left").withColumn("place", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("times", F.lit(0)), "s")))
+    first = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("fp", "root", "n", "s")
+    x, y = first.alias("x"), first.alias("y")
+    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & fits).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, groups: int = 5, keep: tuple = (), similarity: float | None = None) -> DataFrame:
