@@ -305,3 +305,32 @@ def test_images_formats(spark):
     got = {r.image_id: (r.class_id, r.n_links) for r in images.copies(spark.createDataFrame(rows, "image_id long, data binary")).collect()}
     assert got[1][0] == got[2][0] == got[3][0] == 1 and got[4] == (4, 0) and got[5] == (5, 0) and got[6] == got[7] == (6, 0) and got[None][0] is None
     assert images.copies(spark.createDataFrame([], "image_id long, data binary")).count() == 0
+
+
+def test_near_duplicates_of_crowded_cells(spark):
+    """A chain of edits of one text and unrelated texts: the components are those of all pairs."""
+    import random
+
+    rng = random.Random(3)
+    rows, texts = [], [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(6)]
+    for i in range(120):
+        words = list(texts[0] if i % 4 else rng.choice(texts))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(500, None), (501, "")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if t for w in [t.split()]}
+    root = {i: i for i, _ in rows} | {501: 500}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: top(i) for i in root}
