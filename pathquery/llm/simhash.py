@@ -10,14 +10,12 @@ Cells with more than DENSE fingerprints take another exact way, without pairs: f
 2 bits exactly if some point is within one bit of both, so that every fingerprint of a dense cell goes to its 65 such
 points and each point links what it has to its least member.
 
-With `similarity`, texts link instead whose sets of shingles have that Jaccard similarity or more.  Fingerprints of such
-texts differ by 10 bits and more of 64, where no cell of popcounts tells them from others, so that candidates come from
-BANDS hashes of ROWS minima of the shingles' hashes each (a pair at 0.8 has one in common but for 3 in a million), and
-the shingles themselves are compared.  Equal texts are collapsed first.  In a cell every member is compared with a hub and
-with the BEFORE members before it, in an order that is another one in each cell; cells with over 1 / SHARES of all entries are
-salted, and their hubs are compared likewise.  Pairs of a few bands are compared first; of the others, those that these
-left unconnected.  Texts of cells that still hold several components, where not all pairs were compared, are compared
-across components wherever a prefix filter on their shingles, which is exact, lets them be similar.  No group is compared in pairs.
+With `similarity`, texts link instead whose sets of shingles have that Jaccard similarity or more.  The grid's pairs of
+fingerprints are then candidates that are checked on the shingles, and give the first components.  Similar texts may be
+further apart than `bits`, so that the rest takes an exact way: a text of which too many shingles occur in no other text is
+similar to none; the others meet across components by a prefix filter on their shingles, the rarest first, each with
+one other of a shingle before all do, and pairs whose sizes, places in the prefix or parities of hashed shingles exclude that similarity are left out.  Equal texts are
+collapsed first, and no shingle pairs texts of the largest component that has it.
 
 Defined results: null text is the empty text; texts without words have fingerprint zero and are linked like any other;
 ids that are null have a fingerprint and a component but never name one, unless no id of the component is set (null).
@@ -34,17 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_slices, mixed, run_hashes, word_hashes, written
+from .common import arrow_schema, block_count, map_slices, mixed, run_hashes, word_hashes, written
 from .components import components
 
 SEED = 42
 DENSE = 64
-#: Minima to a band, bands, bands whose pairs are compared first, and members of a cell before one that it is compared with.
-ROWS, BANDS, FIRST, BEFORE = 4, 24, 3, 3
-#: A cell with more than this part of all entries is hot, and so are at most as many cells.
-SHARES = 4096
+#: Longs of a set's parities, and bytes of text whose tested shingles meet in one block.
+PARITIES = 8
+BLOCK_BYTES = 16_000_000
 _words = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz     ")
-_flips = np.random.Generator(np.random.PCG64(13)).integers(0, 2**64, (BANDS, ROWS, 2), np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -131,55 +127,67 @@ def shingled(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarra
     return mixed(run_hashes(h, begin, begin + size) ^ size.astype(np.uint64)), n, whole
 
 
-def banded(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """BANDS hashes of minima for each text with shingles."""
-    starts = (np.cumsum(n) - n)[n > 0]
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    for b in range(BANDS if len(starts) else 0):
-        for flip, times in _flips[b]:
-            out[:, b] = mixed(out[:, b] ^ np.minimum.reduceat((shingles ^ flip) * times, starts)) ^ (out[:, b] >> np.uint64(32))
-        out[:, b] = mixed(out[:, b] ^ np.uint64(b))
-    return out.view(np.int64)
+def tested(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Which shingles are looked for in other texts: by their hashes, twice as many as a text may have alone."""
+    return shingles <= np.uint64(min(1.0, 2 * (1 - similarity)) * (2**64 - 2049))
 
 
-def prints(df: DataFrame, id_col: str, text_col: str, words: int, keep: tuple) -> DataFrame:
-    """id, the columns `keep`, fp (a hash of the text's words) and bands of every text (empty without words)."""
+def prints(df: DataFrame, id_col: str, text_col: str, words: int, keep: tuple, similarity: float) -> DataFrame:
+    """id, the columns `keep`, fp (a hash of the text's words), sim (its fingerprint), its number of different shingles n and of tested ones m."""
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in (id_col, *keep))
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
-            shingles, n, whole = shingled(part.column(1).to_pylist(), words)
-            ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)])
-            return {id_col: part.column(0), **{c: part.column(c) for c in keep}, "fp": whole.view(np.int64), "bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(banded(shingles, n).ravel()))}
+            texts = part.column(1).to_pylist()
+            shingles, n, whole = shingled(texts, words)
+            sets = [np.unique(x) for x in np.split(shingles, np.cumsum(n)[:-1])]
+            sim = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            return {id_col: part.column(0), **{c: part.column(c) for c in keep}, "fp": whole.view(np.int64), "sim": sim.view(np.int64), "n": [len(x) for x in sets], "m": [int(tested(x, similarity).sum()) for x in sets]}
 
         return run
 
-    return map_slices(df, [id_col, text_col, *keep], text_col, f"{kinds}fp long, bands array<long>", make)
+    return map_slices(df, [id_col, text_col, *keep], text_col, f"{kinds}fp long, sim long, n int, m int", make)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, band) of pairs of (fp, bands) rows to compare, with the first band that they share."""
-    cells = nodes.select("fp", F.posexplode("bands").alias("band", "cell"))
-    most = max(64, nodes.count() * BANDS // SHARES)
-    full = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    hot = nodes.sparkSession.createDataFrame(full.select("cell", F.ceil(F.col("n") / most).alias("parts")).collect(), "cell long, parts long")  # fewer than SHARES
-    turn = F.xxhash64("fp", "cell")
-    placed = cells.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(turn, "parts")))
-    least = F.min(F.struct(turn.alias("turn"), "fp"))
+def met(df: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(fp, met): how many of a text's tested shingles other texts have; texts without such may be missing."""
+    blocks = block_count(df.select(text_col), BLOCK_BYTES, least=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def compared(some: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("turn", "fp")
-        others = {"hub": F.first("fp"), **{f"before_{i}": F.lag("fp", i) for i in range(1, BEFORE + 1)}}
-        met = some.withColumn("turn", turn).select("fp", "band", *(x.over(order).alias(c) for c, x in others.items()))
-        return met.select("fp", "band", F.explode(F.array(*others)).alias("other"))
+    def make():
+        def run(part: pa.RecordBatch) -> dict:
+            shingles, n, whole = shingled(part.column(0).to_pylist(), words)
+            some = tested(shingles, similarity)
+            s, fp = shingles[some], np.repeat(whole, n)[some]
+            block = ((s >> np.uint64(8)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            s, fp, block = s[order], fp[order], block[order]
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(first[1:], len(s))
+            return {"block": block[first], "s": [s[i:j].tobytes() for i, j in zip(first, ends)], "fps": [fp[i:j].tobytes() for i, j in zip(first, ends)]}
+
+        return run
+
+    def counted(block: pa.Table) -> pa.Table:
+        s, fp = (np.frombuffer(b"".join(block.column(c).to_pylist()), np.int64) for c in ("s", "fps"))
+        order = np.lexsort((fp, s))
+        s, fp = s[order], fp[order]
+        new = np.append(True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1]))
+        s, fp = s[new], fp[new]
+        same = s[1:] == s[:-1]
+        fps, n = np.unique(fp[np.append(same, False) | np.append(False, same)], return_counts=True)
+        return pa.table({"fp": fps, "met": n.astype(np.int64)})
 
-    hubs = placed.filter("parts is not null").groupBy("cell", "salt", "band").agg(least.alias("least")).select("cell", "band", F.col("least.fp").alias("fp"))
-    pairs = compared(placed, "cell", "salt").union(compared(hubs, "cell")).filter("fp != other")
-    return pairs.groupBy(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).agg(F.min("band").alias("band"))
+    dealt = map_slices(df, [text_col], text_col, "block long, s binary, fps binary", make)
+    return dealt.groupBy("block").applyInArrow(counted, "fp long, met long").groupBy("fp").agg(F.sum("met").alias("met"))
+
+
+def alone(n, similarity: float):
+    """So many shingles of n, or more, that no other text has, and a text is similar to none; also the length of its prefix."""
+    return n - F.ceil(F.lit(similarity) * n - 1e-9) + 1
 
 
 def shingle_sets(df: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(fp, shingles) of the texts whose fp is in wanted.fp, one of each."""
+    """(fp, shingles, parities) of the texts whose fp is in wanted.fp, one of each."""
 
     def squeeze():
         c = zstandard.ZstdCompressor(level=1)
@@ -190,7 +198,9 @@ def shingle_sets(df: DataFrame, text_col: str, words: int, wanted: DataFrame) ->
 
         return run
 
-    kinds = arrow_schema("fp long, shingles array<long>")
+    kinds = arrow_schema("fp long, shingles array<long>, parities array<long>")
+
+    size = 64 * PARITIES
 
     def split(batches):
         d = zstandard.ZstdDecompressor()
@@ -198,68 +208,102 @@ def shingle_sets(df: DataFrame, text_col: str, words: int, wanted: DataFrame) ->
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 shingles, n, _ = shingled([d.decompress(z).decode() for z in part.column(1).to_pylist()], words)
-                sets = [np.unique(x).view(np.int64) for x in np.split(shingles, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=kinds)
+                sets = [np.unique(x) for x in np.split(shingles, np.cumsum(n)[:-1])]
+                odd = [np.packbits(np.bincount((x % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], schema=kinds)
 
     # equal texts are combined before they are exchanged
     texts = map_slices(df, [text_col], text_col, "fp long, z binary", squeeze).groupBy("fp").agg(F.first("z").alias("z"))
-    return texts.join(wanted, "fp", "left_semi").select("fp", "z").mapInArrow(split, "fp long, shingles array<long>")
+    return texts.join(wanted, "fp", "left_semi").select("fp", "z").mapInArrow(split, "fp long, shingles array<long>, parities array<long>")
 
 
-def similar_roots(df: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+def similar_roots(df: DataFrame, nodes: DataFrame, text_col: str, words: int, similarity: float, bits: int, groups: int) -> DataFrame:
     """(node, root) of the texts in nodes.fp that a similarity of their shingles links."""
-    pairs = written(candidates(nodes), "candidates")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(df, text_col, words, wanted), "sets")
+    heads = written(nodes.groupBy("sim").agg(F.min("fp").alias("head")), "heads")
+    head = lambda c: heads.select(F.col("sim").alias(f"{c}_sim"), F.col("head").alias(c))
+    near = links(heads.select(F.col("sim").alias("fp")), bits, groups).toDF("a_sim", "b_sim").distinct()
+    near = near.join(head("a"), "a_sim").join(head("b"), "b_sim").select("a", "b")
+    near = near.union(nodes.join(heads, "sim").filter("fp != head").select("head", "fp"))
+
+    some = nodes.join(met(df, text_col, words, similarity), "fp", "left").filter(F.col("m") - F.coalesce("met", F.lit(0)) < alone(F.col("n"), similarity)).filter("n > 0")
+    sets = written(shingle_sets(df, text_col, words, some.select("fp")), "sets")
 
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
         return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b")
 
-    roots = written(components(verified(pairs.filter(F.col("band") < FIRST))), "roots")
-    rest = pairs.filter(F.col("band") >= FIRST)
-    for c in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    roots = written(components(verified(rest).union(roots.select("node", "root"))), "roots")
-    more = written(verified(across(nodes, roots, sets, similarity).join(pairs, ["a", "b"], "left_anti")), "across")
-    return components(more.union(roots.select("node", "root"))) if more.limit(1).count() else roots
+    def grown(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        more = written(verified(pairs), "more")
+        return written(components(more.union(roots.select("node", "root"))), "roots")
 
+    roots = written(components(verified(near)), "roots")
+    first = written(prefixes(sets, similarity), "prefixes")
+    roots = grown(neighbours(rooted(first, roots)), roots)
+    return grown(across(rooted(first, roots), similarity), roots)
 
-def across(nodes: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all pairs of different components that may be similar, of the texts of cells where not all pairs were compared.
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, place, fp, n, parities) of the shingles in the prefix of each set that other sets have too.
 
     Of two similar sets of n and m shingles, each has one of the common ones among the n - ceil(similarity n) + 1 that
-    come first in any order that holds for all; here common shingles, of which there are fewer than SHARES, come last.
+    come first in any order that holds for all; here the rarest come first.
+    """
+    each = sets.select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    times = each.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    by = Window.partitionBy("fp")
+    # shingles of one set only come first of all
+    placed = each.join(times, "s").withColumn("place", F.row_number().over(by.orderBy("times", "s")) + F.col("n") - F.count(F.lit(1)).over(by))
+    first = placed.filter(F.col("place") <= alone(F.col("n"), similarity)).select("fp", "n", "s", "place")
+    return first.join(sets.select("fp", *(F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES))), "fp")
+
+
+def rooted(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """first with the root of each fp and the size of its component."""
+    sizes = roots.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
+    found = first.join(roots, first["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+    return found.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+
+
+def neighbours(first: DataFrame) -> DataFrame:
+    """(a, b): each set with one other of each shingle of its prefix, in an order that is another one for each shingle, if their components differ."""
+    order = Window.partitionBy("s").orderBy(F.xxhash64("fp", "s"), "fp")
+    met = first.select("fp", "root", F.lag("fp").over(order).alias("other"), F.lag("root").over(order).alias("other_root")).filter("root != other_root")
+    return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+
+
+def across(first: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all pairs of sets of different components that may be similar.
+
+    The parities of two sets' hashed shingles differ in no more places than the sets have different shingles.
     """
-    cells = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("cell"))
-    apart = cells.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") > BEFORE + 2))
-    some = cells.join(apart.select("cell"), "cell", "left_semi").groupBy("fp").agg(F.first("root").alias("root"))
-    held = written(sets.join(some, "fp").select("fp", "root", F.size("shingles").alias("n"), "shingles"), "apart")
-    each = held.select("fp", "root", "n", F.explode("shingles").alias("s"))
-    least = max(64, (held.agg(F.sum("n")).first()[0] or 0) // SHARES)
-    known = each.groupBy("s").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > least)  # fewer than SHARES
-    placed = each.join(F.broadcast(known), "s", "left").withColumn("place", F.row_number().over(Window.partitionBy("fp").orderBy(F.coalesce("times", F.lit(0)), "s")))
-    first = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).select("fp", "root", "n", "s")
-    x, y = first.alias("x"), first.alias("y")
+    tops = first.groupBy("s").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    both = first.join(tops.select("s", F.col("top.root").alias("top")), "s")
+    x, y = both.filter("root != top").alias("x"), both.alias("y")
+    total = F.col("x.n") + F.col("y.n")
     fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & fits).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    # true of the first shingle that both prefixes have, if the sets are similar
+    left = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= similarity / (1 + similarity) * total - 1e-6
+    apart = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITIES)), F.lit(0))
+    close = apart <= (1 - similarity) / (1 + similarity) * total + 1e-6
+    once = (F.col("y.root") == F.col("y.top")) | (F.col("x.fp") < F.col("y.fp"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & once & fits & left & close)
+    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, groups: int = 5, keep: tuple = (), similarity: float | None = None) -> DataFrame:
     """id, fp, component_id (the least id reachable) of every row; with `keep` also these columns and root (the component's least fp).
 
-    similarity: link by the similarity of shingle sets instead of fingerprints; fp is then a hash of the text's words.
+    similarity: link by the similarity of shingle sets, of pairs within `bits` bits first; fp is then a hash of the text's words.
     """
     if similarity is None:
         fps = written(fingerprints(df, id_col, text_col, words, keep), "fingerprints")
         nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
         roots = components(links(nodes.select("fp"), bits, groups))
     else:
-        fps = written(prints(df, id_col, text_col, words, keep), "prints")
-        nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("bands").alias("bands")), "nodes")
-        roots = similar_roots(df, nodes, text_col, words, similarity)
+        fps = written(prints(df, id_col, text_col, words, keep, similarity), "prints")
+        nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("least"), *(F.first(c).alias(c) for c in ("sim", "n", "m"))), "nodes")
+        roots = similar_roots(df, nodes, text_col, words, similarity, bits, groups)
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id", "root")

@@ -334,3 +334,24 @@ def test_near_duplicates_of_crowded_cells(spark):
                 root[y] = x
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: top(i) for i in root}
+
+
+def test_near_duplicates_use_the_grid_and_no_square(spark, monkeypatch):
+    """The grid gets the texts' fingerprints; of a group of near copies few pairs are left to compare, and all of it is found."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for i in range(20)]
+    seen, left = [], []
+    grid, across = simhash.links, simhash.across
+    monkeypatch.setattr(simhash, "links", lambda fps, *a: seen.extend(r.fp for r in fps.collect()) or grid(fps, *a))
+    monkeypatch.setattr(simhash, "across", lambda *a: left.append((out := across(*a)).count()) or out)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 1000 else i for i, _ in rows}
+    assert set(seen) == {simhash.signed(simhash.fingerprint(t, 5)) for _, t in rows} and left[0] < 10 * len(rows)
